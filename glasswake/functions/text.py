@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 WHITESPACE = " \t\n\r\f\u000b\u00a0\ufeff"
 
@@ -113,34 +114,70 @@ def process_snippet(df, raw: str, category: str, rule_id: str, limit: int = 1000
     )
 
 
-def matches_in_context(content: Column, pattern: str, groups: tuple[int, ...],
-                       width: int, shortest: int) -> Column:
-    """All matches with ``width`` characters of text on either side.
+@dataclass(frozen=True)
+class Search:
+    """One pattern to look for: output column, condition to look at all, groups whose
+    first non-empty one is the value, context width, length of the shortest match."""
+    name: str
+    guard: Column
+    pattern: str
+    groups: tuple[int, ...]
+    width: int
+    shortest: int
+
+
+def with_context_matches(df: DataFrame, content: str, searches: list[Search]) -> DataFrame:
+    """Add, per search, an array of all matches with the text around each.
 
     Spark has no match offsets, so the text is split at the matches and put
-    together again around each of them.  A window of ``width`` characters spans
-    at most ``width / shortest`` neighbouring matches, hence linear work.
-    ``shortest`` is the length of the shortest text the pattern can match.
-    Yields array<struct<pos, value, whole, left, right>>.
+    together again around each of them.  A window of ``width`` characters spans at
+    most ``width / shortest`` neighbouring matches, so the work is linear in the
+    matches.  The helper arrays are columns of their own: an expression inside a
+    lambda would be evaluated once per element.
+    Yields array<struct<pos, value, whole, left, right>>, NULL where nothing is found.
     """
-    near = math.ceil(width / shortest) + 1
-    hits = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
-    values = [F.regexp_extract_all(content, F.lit(pattern), F.lit(g)) for g in groups]
-    gaps = F.split(content, pattern, -1)
-    size = F.size(hits)
-    before = F.transform(hits, lambda m, i: F.right(F.concat(F.get(gaps, i), m), F.lit(width)))
-    after = F.transform(hits, lambda m, i: F.left(F.concat(m, F.get(gaps, i + 1)), F.lit(width)))
-
-    def around(m, i):
+    text = F.col(content)
+    hits = lambda s: F.col(s.name + "_hits")
+    found = lambda s: F.size(hits(s)) > 0
+    df = df.withColumns({s.name + "_hits": F.when(s.guard, F.regexp_extract_all(
+        text, F.lit(s.pattern), F.lit(0))) for s in searches})
+    parts = {}
+    for s in searches:
+        parts[s.name + "_gaps"] = F.when(found(s), F.split(text, s.pattern, -1))
+        for g in s.groups:
+            parts[f"{s.name}_v{g}"] = F.when(found(s), F.regexp_extract_all(
+                text, F.lit(s.pattern), F.lit(g)))
+    df = df.withColumns(parts)
+    sides = {}
+    for s in searches:
+        gaps, n, w = F.col(s.name + "_gaps"), F.size(hits(s)), F.lit(s.width)
+        sides[s.name + "_before"] = F.zip_with(
+            hits(s), F.slice(gaps, F.lit(1), n), lambda m, gap: F.right(F.concat(gap, m), w))
+        sides[s.name + "_after"] = F.zip_with(
+            hits(s), F.slice(gaps, F.lit(2), n), lambda m, gap: F.left(F.concat(m, gap), w))
+    df = df.withColumns(sides)
+    df = df.withColumns({s.name: F.when(found(s), F.transform(hits(s), _around(s)))
+                         for s in searches})
+    helpers = [f"{s.name}_hits" for s in searches] + list(parts) + list(sides)
+    return df.drop(*helpers)
+
+
+def _around(s: Search):
+    near = math.ceil(s.width / s.shortest) + 1
+    hits, gaps, before, after = (
+        F.col(f"{s.name}_{x}") for x in ("hits", "gaps", "before", "after"))
+    values = [F.col(f"{s.name}_v{g}") for g in s.groups]
+
+    def build(m, i):
         lo = F.greatest(i + 1 - near, F.lit(1))
         left = F.concat(F.array_join(F.slice(before, lo, i + 1 - lo), ""), F.get(gaps, i))
-        right = F.concat(F.get(gaps, i + 1), F.array_join(
-            F.slice(after, i + 2, F.least(F.lit(near), F.greatest(size - i - 1, F.lit(0)))), ""))
+        right = F.concat(F.get(gaps, i + 1), F.array_join(F.slice(
+            after, i + 2, F.least(F.lit(near), F.greatest(F.size(hits) - i - 1, F.lit(0)))), ""))
         value = F.get(values[0], i)
         for v in values[1:]:
             value = F.when(value == "", F.get(v, i)).otherwise(value)
         return F.struct(
             i.alias("pos"), value.alias("value"), m.alias("whole"),
-            F.right(left, F.lit(width)).alias("left"), F.left(right, F.lit(width)).alias("right"))
-
-    return F.transform(hits, around)
+            F.right(left, F.lit(s.width)).alias("left"),
+            F.left(right, F.lit(s.width)).alias("right"))
+    return build

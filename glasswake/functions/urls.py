@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from glasswake.functions.bind import bind
+
 # Links that change state, and schemes that are never crawled.
 DESTRUCTIVE_WORDS = (
     "logout", "sign.?out", "log.?out", "delete", "remove",
@@ -72,33 +74,33 @@ def with_url(df: DataFrame, src: str | Column, out: str) -> DataFrame:
     """
     c = F.col(src) if isinstance(src, str) else src
     groups = _SEP.join("$%d" % i for i in range(1, 8))
-    df = df.withColumn(out, F.split(F.regexp_replace(clean(c), _HTTP_URL, groups), _SEP, -1))
-    g = [F.get(F.col(out), i) for i in range(7)]
+    df = df.withColumn("_g", F.split(F.regexp_replace(clean(c), _HTTP_URL, groups), _SEP, -1))
+    g = [F.get(F.col("_g"), i) for i in range(7)]
     scheme, host = F.lower(g[0]), F.lower(g[2])
     port = F.regexp_replace(g[3], "^0+(?=.)", "")
     ok = (
-        (F.size(out) == 7) & (g[2] != "") & ~g[2].rlike(_BAD_HOST)
+        (F.size("_g") == 7) & (g[2] != "") & ~g[2].rlike(_BAD_HOST)
         & ((port == "") | (port.try_cast("int") <= 65535))
     )
     default_port = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
     netloc = F.when((port == "") | default_port, host).otherwise(F.concat_ws(":", host, port))
     raw_path = F.replace(g[4], F.lit("\\"), F.lit("/"))
     raw_path = F.when(raw_path == "", F.lit("/")).otherwise(raw_path)
-    df = df.withColumn(out, F.when(ok, F.struct(
+    df = df.withColumn("_u", F.when(ok, F.struct(
         scheme.alias("scheme"), g[1].alias("user"), host.alias("host"), netloc.alias("netloc"),
         _escape(raw_path, _PATH_ESCAPED, _PATH_KEPT).alias("raw_path"),
         F.when(g[5] == "?", F.lit("")).otherwise(
             _escape(g[5], _QUERY_ESCAPED, _QUERY_KEPT)).alias("search"),
         g[6].alias("hash"),
     )))
-    u = F.col(out)
-    return df.withColumn(out, F.when(u.isNotNull(), F.struct(
+    u = F.col("_u")
+    return bind(df, out, F.when(u.isNotNull(), F.struct(
         u["scheme"].alias("scheme"), u["user"].alias("user"), u["host"].alias("host"),
         u["netloc"].alias("netloc"),
         F.concat(u["scheme"], F.lit("://"), u["netloc"]).alias("origin"),
         _fold_dots(u["raw_path"]).alias("path"),
         u["search"].alias("search"), u["hash"].alias("hash"),
-    )))
+    ))).drop("_g", "_u")
 
 
 def href(u: Column) -> Column:
@@ -146,7 +148,7 @@ def with_canonical(df: DataFrame, src: str, out: str) -> DataFrame:
         lambda p: F.concat(F.url_encode(p["name"]), F.lit("="), F.url_encode(p["value"]))), "&")
     query = F.when(u["search"] == "", F.lit("")).otherwise(
         F.when(sorted_query == "", F.lit("")).otherwise(F.concat(F.lit("?"), sorted_query)))
-    return df.withColumn(out, F.coalesce(
+    return bind(df, out, F.coalesce(
         F.concat(u["origin"], _slashless(u["path"]), query), F.col(src))).drop("_k")
 
 
@@ -166,7 +168,7 @@ def with_resolved(df: DataFrame, ref: str, base: str, out: str) -> DataFrame:
     )
     df = with_url(df.withColumn("_a", absolute), "_a", "_x")
     other = F.when(~F.col("_a").rlike("(?i)^https?:"), F.col("_a"))
-    return df.withColumn(out, F.coalesce(href(F.col("_x")), other)).drop("_b", "_r", "_a", "_x")
+    return bind(df, out, F.coalesce(href(F.col("_x")), other)).drop("_b", "_r", "_a", "_x")
 
 
 def is_destructive(c: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from glasswake.functions.bind import bind
 from glasswake.functions.text import is_high_entropy, is_placeholder, redact_value
 from glasswake.functions.urls import query_pairs, with_url
 from glasswake.operators.findings import DET, KEYS, emit, finding
@@ -25,13 +26,14 @@ DISALLOW = r"(?i)^Disallow:\s*(.+)\z"
 SENSITIVE_PATH = r"(?i)admin|internal|debug|private|staging|test|backup|config"
 
 
-def sensitive_params(search: Column) -> Column:
+def with_sensitive_params(df: DataFrame, search: Column, out: str) -> DataFrame:
     """First reportable value per sensitive name: array<struct<name,pos,value>>."""
     lower = lambda p: F.lower(p["name"])
-    kept = F.filter(query_pairs(search), lambda p: lower(p).isin(*SENSITIVE_PARAMS) & (
-        (F.length(p["value"]) >= MIN_VALUE_LENGTH) | lower(p).isin(*PASSWORD_PARAMS)))
-    names = F.transform(kept, lower)
-    return F.filter(kept, lambda p, i: F.array_position(names, lower(p)) == i + 1)
+    df = df.withColumn("_kept", F.filter(query_pairs(search), lambda p: lower(p).isin(*SENSITIVE_PARAMS) & (
+        (F.length(p["value"]) >= MIN_VALUE_LENGTH) | lower(p).isin(*PASSWORD_PARAMS))))
+    df = df.withColumn("_names", F.transform("_kept", lower))
+    return bind(df, out, F.filter("_kept", lambda p, i: F.array_position(
+        "_names", lower(p)) == i + 1)).drop("_kept", "_names")
 
 
 def param_findings(addresses: DataFrame, det: str) -> DataFrame:
@@ -39,8 +41,9 @@ def param_findings(addresses: DataFrame, det: str) -> DataFrame:
     rows = addresses.filter(F.col("url").contains("?"))
     rows = with_url(rows, "url", "u").filter("u IS NOT NULL")
     rows = rows.select(*KEYS, "item_ord", "url", F.concat(
-        F.col("u")["origin"], F.col("u")["path"]).alias("path"),
-        F.explode(sensitive_params(F.col("u")["search"])).alias("p"))
+        F.col("u")["origin"], F.col("u")["path"]).alias("path"), F.col("u")["search"].alias("search"))
+    rows = with_sensitive_params(rows, F.col("search"), "params")
+    rows = rows.select(*KEYS, "item_ord", "url", "path", F.explode("params").alias("p"))
     name, value = F.col("p")["name"], F.col("p")["value"]
     lower = F.lower(name)
     level = F.when(is_placeholder(value), "low").when(

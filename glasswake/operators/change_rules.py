@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from glasswake.functions.bind import bind
 from glasswake.functions.patch import (
     first, first_with_context, longest_run, nesting, unsigned, with_lines,
 )
@@ -144,7 +145,8 @@ def emit_reviews(df: DataFrame, rules: list[Column]) -> DataFrame:
 
 def _first_of(lines: Column, patterns) -> tuple[Column, Column]:
     """First matching line of the first pattern that matches at all, and its label."""
-    hits = [(first(lines, lambda l, p=p: l.rlike(p)), label) for p, label in patterns]
+    matches = lambda p: lambda l: l.rlike(p)
+    hits = [(first(lines, matches(p)), label) for p, label in patterns]
     line = F.coalesce(*[h for h, _ in hits])
     label = F.coalesce(*[F.when(h.isNotNull(), F.lit(t)) for h, t in hits])
     return line, label
@@ -276,10 +278,10 @@ def plural_conflicts(files: DataFrame, limit: int = 3) -> DataFrame:
     tokens = F.flatten(F.transform("added", lambda l: F.regexp_extract_all(
         l, F.lit(r"(?<![A-Za-z0-9_])[a-z][a-zA-Z]{3,}(?![A-Za-z0-9_])"), F.lit(0))))
     words = F.array_distinct(F.transform(tokens, F.lower))
-    df = df.select("review_id", "file_ord", "path", words.alias("words"))
+    df = bind(df, "words", words)
     stems = F.transform(F.filter("words", lambda w: w.endswith("s") & (F.length(w) > 4)),
                         lambda w: F.left(w, F.length(w) - 1))
     both = F.slice(F.array_intersect(stems, F.col("words")), F.lit(1), F.lit(limit))
-    return df.select("review_id", "file_ord", "path", F.transform(
-        both, lambda s: F.concat(s, F.lit("/"), s, F.lit("s"))).alias("conflicts")).filter(
-        F.size("conflicts") > 0)
+    conflicts = F.transform(both, lambda s: F.concat(s, F.lit("/"), s, F.lit("s")))
+    return bind(df, "conflicts", conflicts).filter(F.size("conflicts") > 0).select(
+        "review_id", "file_ord", "path", "conflicts")

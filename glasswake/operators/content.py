@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from glasswake.functions import html as H
+from glasswake.functions.bind import bind
 from glasswake.functions.text import (
     is_high_entropy, is_password_placeholder, is_placeholder, is_trivial_password,
-    matches_in_context, strip,
+    Search, strip, with_context_matches,
 )
 from glasswake.functions.urls import with_resolved
 from glasswake.operators.clientstate import SENSITIVE_KEY
@@ -107,7 +108,7 @@ def _dets(**names: str) -> Column:
 def page_bodies(pages: DataFrame) -> DataFrame:
     """Markup, each inline script, and both joined, one row each."""
     inline = H.inline_scripts(F.col("html"))
-    df = pages.filter("html <> ''").withColumn("_inline", inline)
+    df = bind(pages.filter("html <> ''"), "_inline", inline)
     body = lambda ord_, label, text, dets: F.struct(
         ord_.cast("bigint").alias("item_ord"), F.lit(label).alias("label"),
         text.alias("content"), dets.alias("dets"))
@@ -190,10 +191,26 @@ def _plain(group, det, rule, test, pattern, value_group, seen=True):
                m["v"], m["w"])))
 
 
-def _candidates(only: tuple[str, ...], rules: dict[str, tuple[int, ...]] | None) -> list[Column]:
+def _password_matches(near: Column, det: Column, i: int, name: str) -> Column:
+    built = F.transform(near, lambda m: _match(
+        "passwords", det, 100 + i, m["pos"],
+        F.concat(F.lit(name + ":"), F.left(strip(m["value"]), F.lit(24))),
+        strip(m["value"]), m["whole"], m["left"], m["right"]))
+    return _guarded(near.isNotNull(), F.filter(built, lambda m: m["value"] != ""))
+
+
+def _endpoint_matches(near: Column, det: Column, i: int) -> Column:
+    return _guarded(near.isNotNull(), F.transform(near, lambda m: _match(
+        "endpoints", det, i, m["pos"], m["value"], m["value"], m["whole"], m["left"], m["right"])))
+
+
+def _with_candidates(bodies: DataFrame, only: tuple[str, ...],
+                     rules: dict[str, tuple[int, ...]] | None) -> tuple[DataFrame, list[Column]]:
+    """Bodies with one array of matches per wanted pattern."""
     content = F.col("content")
     wanted = lambda g, i: g in only and (not rules or g not in rules or i in rules[g])
     out: list[Column] = []
+    searches: list[Search] = []
     for i, (_, pattern, group, _, needle) in enumerate(SECRETS):
         if wanted("secrets", i):
             det = F.col("dets")["secrets"]
@@ -208,14 +225,9 @@ def _candidates(only: tuple[str, ...], rules: dict[str, tuple[int, ...]] | None)
         if wanted("passwords", i):
             det = F.col("dets")["passwords"]
             cheap = content.rlike(needle) if i == 0 else content.contains(needle)
-            near = matches_in_context(content, pattern, groups, 60, 8)
-            out.append(_guarded(
-                det.isNotNull() & cheap & content.rlike(pattern),
-                F.filter(F.transform(near, lambda m, i=i, name=name: _match(
-                    "passwords", det, 100 + i, m["pos"],
-                    F.concat(F.lit(name + ":"), F.left(strip(m["value"]), F.lit(24))),
-                    strip(m["value"]), m["whole"], m["left"], m["right"])),
-                    lambda m: m["value"] != "")))
+            name_ = f"_pw{i}"
+            searches.append(Search(name_, det.isNotNull() & cheap, pattern, groups, 60, 8))
+            out.append(_password_matches(F.col(name_), det, i, name))
     firsts = ((STACK_TRACE, 0), (VERSION, 1), (None, 0), (INTERNAL_URL, 0))
     for i, (pattern, group) in enumerate(firsts):
         if wanted("framework", i):
@@ -231,18 +243,19 @@ def _candidates(only: tuple[str, ...], rules: dict[str, tuple[int, ...]] | None)
         if wanted("endpoints", i):
             det = F.col("dets")["endpoints"]
             pattern = endpoint_pattern(path)
-            near = matches_in_context(content, pattern, (1,), 40, 7)
-            out.append(_guarded(
-                det.isNotNull() & content.rlike(ANY_ENDPOINT) & content.rlike(pattern),
-                F.transform(near, lambda m, i=i: _match(
-                    "endpoints", det, i, m["pos"], m["value"], m["value"], m["whole"],
-                    m["left"], m["right"]))))
+            name_ = f"_ep{i}"
+            searches.append(Search(
+                name_, det.isNotNull() & content.rlike(ANY_ENDPOINT) & content.rlike(pattern),
+                pattern, (1,), 40, 7))
+            out.append(_endpoint_matches(F.col(name_), det, i))
     if wanted("sourcemaps", 0):
         det = F.col("dets")["sourcemaps"]
         out.append(_plain("sourcemaps", det, 0,
                           det.isNotNull() & content.contains("sourceMappingURL="),
                           SOURCE_MAP, 1, seen=False))
-    return out
+    if searches:
+        bodies = with_context_matches(bodies, "content", searches)
+    return bodies, out
 
 
 def matches(bodies: DataFrame, only: tuple[str, ...] = GROUPS,
@@ -250,7 +263,8 @@ def matches(bodies: DataFrame, only: tuple[str, ...] = GROUPS,
     """Every match, first of equal ones per body (the reference point of 'first' is
     rule order, then position)."""
     keys = ["scan_id", "page_id", "url", "asset_url", "item_ord", "label"]
-    rows = bodies.select(*keys, F.explode(F.flatten(F.array(*_candidates(only, rules)))).alias("m"))
+    bodies, found = _with_candidates(bodies, only, rules)
+    rows = bodies.select(*keys, F.explode(F.flatten(F.array(*found))).alias("m"))
     rows = rows.select(*keys, "m.*")
     return first_per(
         rows, ["scan_id", "page_id", "asset_url", "det_ord", "item_ord", "grp", "seen"],
@@ -345,7 +359,7 @@ def content_findings(bodies: DataFrame, only: tuple[str, ...] = GROUPS,
             asset_url=F.coalesce("asset_url", "url"), confidence="high",
             description="The referenced map may give away the original source."))))
     out = F.coalesce(*[F.when(grp == name, built) for name, built in branches])
-    rows = m.select(*KEYS, out.alias("f")).filter("f IS NOT NULL")
+    rows = bind(m, "f", out).filter("f IS NOT NULL")
     return rows.select(*KEYS, "f.*")
 
 

@@ -6,6 +6,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from glasswake.functions.bind import bind
+
 KEYS = ["scan_id", "page_id"]
 ORDER = ["det_ord", "item_ord", "rule_ord", "pos"]
 FIELDS = ["severity", "category", "title", "description", "url", "asset_url",
@@ -123,7 +125,7 @@ def gate(findings: DataFrame, options: DataFrame) -> DataFrame:
                 either = either | F.col("opt")[flag]
             ok = ok & either
         allowed.append(F.when(ok, F.lit(DET[name])))
-    flags = options.select("scan_id", F.array_compact(F.array(*allowed)).alias("_on"))
+    flags = bind(options, "_on", F.array_compact(F.array(*allowed))).select("scan_id", "_on")
     return (findings.join(flags, "scan_id")
             .filter(F.array_contains("_on", F.col("det_ord"))).drop("_on"))
 

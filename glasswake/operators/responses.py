@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from glasswake.functions.bind import bind
 from glasswake.functions.text import strip
 from glasswake.operators.findings import KEYS, emit, finding
 
@@ -37,8 +38,7 @@ def content_type(headers: Column) -> Column:
 
 def header_findings(pages: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
     """Missing required headers, technology disclosure, wildcard CORS."""
-    df = (pages.filter(F.size("headers") > 0)
-          .withColumn("_h", lower_entries(F.col("headers"))))
+    df = bind(pages.filter(F.size("headers") > 0), "_h", lower_entries(F.col("headers")))
     h = lambda name: header(F.col("_h"), name)
     df = (df.withColumn("_powered", h("x-powered-by"))
           .withColumn("_origin", h("access-control-allow-origin"))
@@ -71,20 +71,21 @@ def header_findings(pages: DataFrame, only: tuple[str, ...] | None = None) -> Da
 
 
 def parse_policy(value: Column) -> Column:
-    """'a x y; b' -> array<struct<name,tokens>>; of equal names only the last is kept."""
+    """'a x y; b' -> array<struct<name,tokens>>."""
     parts = F.filter(F.transform(F.split(value, ";", -1), strip), lambda p: p != "")
     parsed = F.transform(parts, lambda p: F.split(p, r"\s+", -1))
-    named = F.transform(parsed, lambda t: F.struct(
+    return F.transform(parsed, lambda t: F.struct(
         F.lower(F.get(t, 0)).alias("name"), F.slice(t, F.lit(2), F.size(t)).alias("tokens")))
-    return F.filter(named, lambda d, i: ~F.exists(
-        F.slice(named, i + 2, F.size(named)), lambda later: later["name"] == d["name"]))
 
 
 def with_policy(pages: DataFrame) -> DataFrame:
+    """Pages that send a policy; of equal directive names only the last is kept."""
     value = header(lower_entries(F.col("headers")), "content-security-policy")
-    return (pages.withColumn("_csp", value).filter(F.col("_csp") != "")
-            .withColumn("policy", parse_policy(F.col("_csp"))).drop("_csp")
-            .filter(F.size("policy") > 0))
+    df = bind(pages, "_csp", value).filter(F.col("_csp") != "")
+    df = bind(df, "_named", parse_policy(F.col("_csp")))
+    last = F.filter("_named", lambda d, i: ~F.exists(
+        F.slice("_named", i + 2, F.size("_named")), lambda later: later["name"] == d["name"]))
+    return bind(df, "policy", last).drop("_csp", "_named").filter(F.size("policy") > 0)
 
 
 def policy_directives(pages: DataFrame) -> DataFrame:
