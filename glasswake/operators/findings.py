@@ -96,10 +96,10 @@ def deduplicate(findings: DataFrame, strict: bool = False) -> DataFrame:
     Bundle, robots and probe findings are passed through as they are.
     """
     paged = F.col("det_ord").between(DET["headers"], DET["request_url"])
-    keys = [*KEYS, "category", "url", F.substring("evidence", 1, 50)]
+    own = F.concat_ws(":", *ORDER, "asset_url")          # always its own group
+    keys = [*KEYS, "category", "url", F.when(paged, F.substring("evidence", 1, 50)).otherwise(own)]
     keys += ["title"] if strict else []
-    kept = first_per(findings.filter(paged), keys, ORDER)
-    return kept.unionByName(findings.filter(~paged))
+    return first_per(findings, keys, ORDER)
 
 
 def with_finding_id(findings: DataFrame) -> DataFrame:
