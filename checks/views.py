@@ -41,7 +41,8 @@ PATCH = [
     (21, "+++ b/file.ts"), (22, "--- a/file.ts"), (23, "+ok()"),
     (24, "+app.post(~/login~, h) // Bearer abc.def"), (25, "+if (validate(items)) { orders(item) }"),
     (26, "@@ -40,2 +61,3 @@"), (27, "+router.post(~/login~, go)"),
-    (28, "+let password = ~hunter2hunter2~; // FIXME"),
+    (28, "+let password = ~hunter2hunter2~; // FIXME"), (31, "+let req = tmp"),
+    (32, "+  return total"), (36, "+function run(x) {"),
 ]
 
 
@@ -147,7 +148,7 @@ def views(engine: str) -> dict[str, str]:
     v["fx_review_files"] = f"""SELECT l_orderkey AS review_id, (l_partkey * 10000 + l_suppkey) * 8 + l_linenumber AS file_ord,
  CASE l_partkey % 8 WHEN 0 THEN concat('src/services/s', CAST(l_partkey % 40 AS STRING), '.ts') WHEN 1 THEN concat('src/__tests__/s', CAST(l_partkey % 40 - 1 AS STRING), '.test.ts') WHEN 2 THEN 'package.json' WHEN 3 THEN 'README.md'
  WHEN 4 THEN concat('src/api/r', CAST(l_partkey % 20 AS STRING), '.ts') WHEN 5 THEN concat('src/u', CAST(l_partkey % 20 AS STRING), '.py') WHEN 6 THEN 'config/app.yaml' ELSE concat('lib/x', CAST(l_partkey % 20 AS STRING), '.ts') END AS path,
- CAST(l_quantity AS INT) AS additions, CASE WHEN l_suppkey % 20 = 19 THEN NULL ELSE CAST(l_suppkey % 20 AS INT) END AS deletions, l_partkey,
+ CAST(l_quantity * 4 AS INT) AS additions, CASE WHEN l_suppkey % 20 = 19 THEN NULL ELSE CAST(l_suppkey % 20 AS INT) END AS deletions, l_partkey,
  CASE WHEN l_partkey % 16 = 11 THEN NULL ELSE replace(concat(concat_ws(chr(10), {lines}),
  CASE l_partkey % 25 WHEN 0 THEN {many('+ step()', 45)} WHEN 1 THEN {many('+ step()', 75)} WHEN 2 THEN concat({many('+import { a } from ~./a~', 5)}, {many('+ await go(1)', 5)})
  WHEN 3 THEN {many('+ x = a||b', 5)} WHEN 4 THEN concat({many('+ step()', 30)}, chr(10), '+++ x', {many('+ step()', 42)}) ELSE '' END), '~', chr(39)) END AS patch
