@@ -114,12 +114,17 @@ def process_snippet(df, raw: str, category: str, rule_id: str, limit: int = 1000
     )
 
 
+def sql_text(value: str) -> str:
+    """A Python string as a SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 @dataclass(frozen=True)
 class Search:
-    """One pattern to look for: output column, condition to look at all, groups whose
+    """One pattern to look for: output column, SQL condition to look at all, groups whose
     first non-empty one is the value, context width, length of the shortest match."""
     name: str
-    guard: Column
+    guard: str
     pattern: str
     groups: tuple[int, ...]
     width: int
@@ -136,48 +141,28 @@ def with_context_matches(df: DataFrame, content: str, searches: list[Search]) ->
     lambda would be evaluated once per element.
     Yields array<struct<pos, value, whole, left, right>>, NULL where nothing is found.
     """
-    text = F.col(content)
-    hits = lambda s: F.col(s.name + "_hits")
-    found = lambda s: F.size(hits(s)) > 0
-    df = df.withColumns({s.name + "_hits": F.when(s.guard, F.regexp_extract_all(
-        text, F.lit(s.pattern), F.lit(0))) for s in searches})
-    parts = {}
+    hits, parts, sides, out = {}, {}, {}, {}
     for s in searches:
-        parts[s.name + "_gaps"] = F.when(found(s), F.split(text, s.pattern, -1))
+        n, w, p = s.name, s.width, sql_text(s.pattern)
+        near = math.ceil(w / s.shortest) + 1
+        hits[f"{n}_hits"] = f"CASE WHEN {s.guard} THEN regexp_extract_all({content}, {p}, 0) END"
+        found = f"CASE WHEN size({n}_hits) > 0 THEN"
+        parts[f"{n}_gaps"] = f"{found} split({content}, {p}, -1) END"
         for g in s.groups:
-            parts[f"{s.name}_v{g}"] = F.when(found(s), F.regexp_extract_all(
-                text, F.lit(s.pattern), F.lit(g)))
-    df = df.withColumns(parts)
-    sides = {}
-    for s in searches:
-        gaps, n, w = F.col(s.name + "_gaps"), F.size(hits(s)), F.lit(s.width)
-        sides[s.name + "_before"] = F.zip_with(
-            hits(s), F.slice(gaps, F.lit(1), n), lambda m, gap: F.right(F.concat(gap, m), w))
-        sides[s.name + "_after"] = F.zip_with(
-            hits(s), F.slice(gaps, F.lit(2), n), lambda m, gap: F.left(F.concat(m, gap), w))
-    df = df.withColumns(sides)
-    df = df.withColumns({s.name: F.when(found(s), F.transform(hits(s), _around(s)))
-                         for s in searches})
-    helpers = [f"{s.name}_hits" for s in searches] + list(parts) + list(sides)
-    return df.drop(*helpers)
-
-
-def _around(s: Search):
-    near = math.ceil(s.width / s.shortest) + 1
-    hits, gaps, before, after = (
-        F.col(f"{s.name}_{x}") for x in ("hits", "gaps", "before", "after"))
-    values = [F.col(f"{s.name}_v{g}") for g in s.groups]
-
-    def build(m, i):
-        lo = F.greatest(i + 1 - near, F.lit(1))
-        left = F.concat(F.array_join(F.slice(before, lo, i + 1 - lo), ""), F.get(gaps, i))
-        right = F.concat(F.get(gaps, i + 1), F.array_join(F.slice(
-            after, i + 2, F.least(F.lit(near), F.greatest(F.size(hits) - i - 1, F.lit(0)))), ""))
-        value = F.get(values[0], i)
-        for v in values[1:]:
-            value = F.when(value == "", F.get(v, i)).otherwise(value)
-        return F.struct(
-            i.alias("pos"), value.alias("value"), m.alias("whole"),
-            F.right(left, F.lit(s.width)).alias("left"),
-            F.left(right, F.lit(s.width)).alias("right"))
-    return build
+            parts[f"{n}_v{g}"] = f"{found} regexp_extract_all({content}, {p}, {g}) END"
+        sides[f"{n}_before"] = (f"zip_with({n}_hits, slice({n}_gaps, 1, size({n}_hits)), "
+                                f"(m, g) -> right(concat(g, m), {w}))")
+        sides[f"{n}_after"] = (f"zip_with({n}_hits, slice({n}_gaps, 2, size({n}_hits)), "
+                               f"(m, g) -> left(concat(m, g), {w}))")
+        value = f"get({n}_v{s.groups[-1]}, i)"
+        for g in reversed(s.groups[:-1]):
+            value = f"coalesce(nullif(get({n}_v{g}, i), ''), {value})"
+        left = (f"concat(array_join(slice({n}_before, greatest(i + 1 - {near}, 1), "
+                f"i + 1 - greatest(i + 1 - {near}, 1)), ''), get({n}_gaps, i))")
+        right = (f"concat(get({n}_gaps, i + 1), array_join(slice({n}_after, i + 2, "
+                 f"least({near}, greatest(size({n}_hits) - i - 1, 0))), ''))")
+        out[n] = (f"{found} transform({n}_hits, (m, i) -> struct(i AS pos, {value} AS value, "
+                  f"m AS whole, right({left}, {w}) AS left, left({right}, {w}) AS right)) END")
+    for step in (hits, parts, sides, out):
+        df = df.withColumns({k: F.expr(v) for k, v in step.items()})
+    return df.drop(*hits, *parts, *sides)

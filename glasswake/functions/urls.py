@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from glasswake.functions.bind import bind
+from glasswake.functions.text import sql_text
 
 # Links that change state, and schemes that are never crawled.
 DESTRUCTIVE_WORDS = (
@@ -41,30 +42,34 @@ def clean(c: Column) -> Column:
     return F.regexp_replace(c, r"[\t\r\n]", "")
 
 
-def _escape(c: Column, needs: str, kept: str) -> Column:
-    out = F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+def _escape(c: str, needs: str, kept: str) -> str:
+    """SQL text: percent-encode what a browser encodes, leave the rest alone."""
+    out = f"replace(url_encode({c}), '+', '%20')"
     for ch in kept:
-        out = F.replace(out, F.lit("%%%02X" % ord(ch)), F.lit(ch))
-    out = F.replace(out, F.lit("%25"), F.lit("%"))
-    return F.when(c.rlike(needs), out).otherwise(c)
-
-
-def _fold_dots(path: Column) -> Column:
-    one, two = ("^(?i)(\\.|%2e)\\z", "^(?i)(\\.|%2e)(\\.|%2e)\\z")
-    segments = F.split(F.substring(path, 2, 1 << 30), "/", -1)
-    folded = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(
-            s.rlike(two), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
-        ).when(s.rlike(one), acc).otherwise(F.concat(acc, F.array(s))),
-    )
-    tail = F.when(path.rlike(r"(?i)/(\.|%2e){1,2}\z"), F.array(F.lit(""))).otherwise(
-        F.array().cast("array<string>"))
-    return F.when(
-        path.rlike(r"(?i)/(\.|%2e){1,2}(/|\z)"),
-        F.concat(F.lit("/"), F.array_join(F.concat(folded, tail), "/")),
-    ).otherwise(path)
+        out = f"replace({out}, '%{ord(ch):02X}', {sql_text(ch)})"
+    return f"CASE WHEN {c} RLIKE {sql_text(needs)} THEN replace({out}, '%25', '%') ELSE {c} END"
+
+
+_DOT, _DOTS = r"(?i)^(\.|%2e)\z", r"(?i)^(\.|%2e)(\.|%2e)\z"
+_NO_TEXT = "CAST(array() AS array<string>)"
+
+
+def _fold_dots(path: str) -> str:
+    """SQL text: resolve '.' and '..' segments."""
+    folded = (
+        f"aggregate(split(substring({path}, 2), '/', -1), {_NO_TEXT}, (acc, s) -> CASE "
+        f"WHEN s RLIKE {sql_text(_DOTS)} THEN slice(acc, 1, greatest(size(acc) - 1, 0)) "
+        f"WHEN s RLIKE {sql_text(_DOT)} THEN acc ELSE concat(acc, array(s)) END)")
+    ends = r"(?i)/(\.|%2e){1,2}\z"
+    tail = f"CASE WHEN {path} RLIKE {sql_text(ends)} THEN array('') ELSE {_NO_TEXT} END"
+    anywhere = r"(?i)/(\.|%2e){1,2}(/|\z)"
+    return (f"CASE WHEN {path} RLIKE {sql_text(anywhere)} THEN "
+            f"concat('/', array_join(concat({folded}, {tail}), '/')) ELSE {path} END")
+
+
+_NETLOC = ("CASE WHEN _u.port = '' OR (_u.scheme = 'http' AND _u.port = '80') "
+           "OR (_u.scheme = 'https' AND _u.port = '443') THEN _u.host "
+           "ELSE concat(_u.host, ':', _u.port) END")
 
 
 def with_url(df: DataFrame, src: str | Column, out: str) -> DataFrame:
@@ -75,32 +80,19 @@ def with_url(df: DataFrame, src: str | Column, out: str) -> DataFrame:
     c = F.col(src) if isinstance(src, str) else src
     groups = _SEP.join("$%d" % i for i in range(1, 8))
     df = df.withColumn("_g", F.split(F.regexp_replace(clean(c), _HTTP_URL, groups), _SEP, -1))
-    g = [F.get(F.col("_g"), i) for i in range(7)]
-    scheme, host = F.lower(g[0]), F.lower(g[2])
-    port = F.regexp_replace(g[3], "^0+(?=.)", "")
-    ok = (
-        (F.size("_g") == 7) & (g[2] != "") & ~g[2].rlike(_BAD_HOST)
-        & ((port == "") | (port.try_cast("int") <= 65535))
-    )
-    default_port = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
-    netloc = F.when((port == "") | default_port, host).otherwise(F.concat_ws(":", host, port))
-    raw_path = F.replace(g[4], F.lit("\\"), F.lit("/"))
-    raw_path = F.when(raw_path == "", F.lit("/")).otherwise(raw_path)
-    df = df.withColumn("_u", F.when(ok, F.struct(
-        scheme.alias("scheme"), g[1].alias("user"), host.alias("host"), netloc.alias("netloc"),
-        _escape(raw_path, _PATH_ESCAPED, _PATH_KEPT).alias("raw_path"),
-        F.when(g[5] == "?", F.lit("")).otherwise(
-            _escape(g[5], _QUERY_ESCAPED, _QUERY_KEPT)).alias("search"),
-        g[6].alias("hash"),
-    )))
-    u = F.col("_u")
-    return bind(df, out, F.when(u.isNotNull(), F.struct(
-        u["scheme"].alias("scheme"), u["user"].alias("user"), u["host"].alias("host"),
-        u["netloc"].alias("netloc"),
-        F.concat(u["scheme"], F.lit("://"), u["netloc"]).alias("origin"),
-        _fold_dots(u["raw_path"]).alias("path"),
-        u["search"].alias("search"), u["hash"].alias("hash"),
-    ))).drop("_g", "_u")
+    g = [f"get(_g, {i})" for i in range(7)]
+    df = df.withColumn("_u", F.expr(f"""CASE WHEN size(_g) = 7 THEN struct(
+        lower({g[0]}) AS scheme, {g[1]} AS user, lower({g[2]}) AS host,
+        regexp_replace({g[3]}, '^0+(?=.)', '') AS port,
+        coalesce(nullif(replace({g[4]}, {sql_text(chr(92))}, '/'), ''), '/') AS path,
+        CASE WHEN {g[5]} = '?' THEN '' ELSE {g[5]} END AS search, {g[6]} AS hash) END"""))
+    return bind(df, out, F.expr(f"""CASE WHEN _u.host <> '' AND NOT _u.host RLIKE {sql_text(_BAD_HOST)}
+        AND (_u.port = '' OR try_cast(_u.port AS INT) <= 65535) THEN struct(
+        _u.scheme AS scheme, _u.user AS user, _u.host AS host, {_NETLOC} AS netloc,
+        concat(_u.scheme, '://', {_NETLOC}) AS origin,
+        {_fold_dots("(" + _escape("_u.path", _PATH_ESCAPED, _PATH_KEPT) + ")")} AS path,
+        {_escape("_u.search", _QUERY_ESCAPED, _QUERY_KEPT)} AS search, _u.hash AS hash) END""")
+                ).drop("_g", "_u")
 
 
 def href(u: Column) -> Column:

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from glasswake.functions import html as H
 from glasswake.functions.bind import bind
 from glasswake.functions.text import (
-    is_high_entropy, is_password_placeholder, is_placeholder, is_trivial_password,
-    Search, strip, with_context_matches,
+    WHITESPACE, Search, is_high_entropy, is_password_placeholder, is_placeholder,
+    is_trivial_password, sql_text, strip, with_context_matches,
 )
 from glasswake.functions.urls import with_resolved
 from glasswake.operators.clientstate import SENSITIVE_KEY
@@ -168,91 +168,81 @@ _MATCH = ("array<struct<grp:string,det_ord:int,rule_ord:int,pos:int,seen:string,
           "whole:string,left:string,right:string>>")
 
 
-def _match(group, det, rule, pos, seen, value, whole, left=None, right=None) -> Column:
-    as_text = lambda c: (F.lit("") if c is None else c).cast("string")
-    return F.struct(
-        F.lit(group).alias("grp"), det.alias("det_ord"), F.lit(rule).alias("rule_ord"),
-        pos.cast("int").alias("pos"), as_text(seen).alias("seen"), as_text(value).alias("value"),
-        as_text(whole).alias("whole"), as_text(left).alias("left"), as_text(right).alias("right"))
+# Many patterns make many expressions, so they are written as SQL text here.
 
+def _match(group: str, rule: int, pos: str, seen: str, value: str, whole: str,
+           left: str = "''", right: str = "''") -> str:
+    return (f"struct('{group}' AS grp, dets.{group} AS det_ord, {rule} AS rule_ord, {pos} AS pos, "
+            f"{seen} AS seen, {value} AS value, {whole} AS whole, {left} AS left, {right} AS right)")
 
-def _guarded(test: Column, found: Column) -> Column:
-    return F.when(test, found).otherwise(F.array()).cast(_MATCH)
 
+def _guarded(test: str, found: str) -> Column:
+    return F.expr(f"CAST(CASE WHEN {test} THEN {found} ELSE array() END AS {_MATCH})")
 
-def _plain(group, det, rule, test, pattern, value_group, seen=True):
+
+def _plain(group: str, rule: int, test: str, pattern: str, value_group: int,
+           seen: bool = True) -> Column:
     """Matches without surrounding text."""
-    content = F.col("content")
-    whole = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(content, F.lit(pattern), F.lit(value_group))
-    return _guarded(test, F.transform(F.arrays_zip(whole.alias("w"), value.alias("v")), lambda m, i:
-        _match(group, det, rule, i,
-               F.concat(F.lit(f"{rule}:"), m["v"] if seen else i.cast("string")),
-               m["v"], m["w"])))
+    p = sql_text(pattern)
+    key = f"concat('{rule}:', " + ("m.v" if seen else "CAST(i AS STRING)") + ")"
+    both = (f"zip_with(regexp_extract_all(content, {p}, 0), "
+            f"regexp_extract_all(content, {p}, {value_group}), (w, v) -> struct(w AS w, v AS v))")
+    return _guarded(f"dets.{group} IS NOT NULL AND {test}",
+                    f"transform({both}, (m, i) -> {_match(group, rule, 'i', key, 'm.v', 'm.w')})")
 
 
-def _password_matches(near: Column, det: Column, i: int, name: str) -> Column:
-    built = F.transform(near, lambda m: _match(
-        "passwords", det, 100 + i, m["pos"],
-        F.concat(F.lit(name + ":"), F.left(strip(m["value"]), F.lit(24))),
-        strip(m["value"]), m["whole"], m["left"], m["right"]))
-    return _guarded(near.isNotNull(), F.filter(built, lambda m: m["value"] != ""))
+def _contains(text: str) -> str:
+    return f"contains(content, {sql_text(text)})"
 
 
-def _endpoint_matches(near: Column, det: Column, i: int) -> Column:
-    return _guarded(near.isNotNull(), F.transform(near, lambda m: _match(
-        "endpoints", det, i, m["pos"], m["value"], m["value"], m["whole"], m["left"], m["right"])))
+def _rlike(pattern: str) -> str:
+    return f"content RLIKE {sql_text(pattern)}"
 
 
 def _with_candidates(bodies: DataFrame, only: tuple[str, ...],
                      rules: dict[str, tuple[int, ...]] | None) -> tuple[DataFrame, list[Column]]:
     """Bodies with one array of matches per wanted pattern."""
-    content = F.col("content")
     wanted = lambda g, i: g in only and (not rules or g not in rules or i in rules[g])
     out: list[Column] = []
     searches: list[Search] = []
     for i, (_, pattern, group, _, needle) in enumerate(SECRETS):
         if wanted("secrets", i):
-            det = F.col("dets")["secrets"]
-            cheap = content.contains(needle) if needle else content.rlike(
-                pattern.split(r"\s*")[0])
-            out.append(_plain("secrets", det, 10 + i, det.isNotNull() & cheap, pattern, group))
+            cheap = _contains(needle) if needle else _rlike(pattern.split(r"\s*")[0])
+            out.append(_plain("secrets", 10 + i, cheap, pattern, group))
     if wanted("next_public", 0):
-        det = F.col("dets")["next_public"]
-        out.append(_plain("next_public", det, 0, det.isNotNull() & content.contains("NEXT_PUBLIC_"),
-                          NEXT_PUBLIC, 1))
+        out.append(_plain("next_public", 0, _contains("NEXT_PUBLIC_"), NEXT_PUBLIC, 1))
+    space = sql_text(WHITESPACE)
     for i, (name, pattern, groups, _, needle) in enumerate(PASSWORDS):
         if wanted("passwords", i):
-            det = F.col("dets")["passwords"]
-            cheap = content.rlike(needle) if i == 0 else content.contains(needle)
-            name_ = f"_pw{i}"
-            searches.append(Search(name_, det.isNotNull() & cheap, pattern, groups, 60, 8))
-            out.append(_password_matches(F.col(name_), det, i, name))
+            cheap = _rlike(needle) if i == 0 else _contains(needle)
+            searches.append(Search(f"_pw{i}", f"dets.passwords IS NOT NULL AND {cheap}", pattern,
+                                   groups, 60, 8))
+            value = f"trim(BOTH {space} FROM m.value)"
+            built = _match("passwords", 100 + i, "m.pos",
+                           f"concat({sql_text(name + ':')}, left({value}, 24))", value, "m.whole",
+                           "m.left", "m.right")
+            out.append(_guarded(f"_pw{i} IS NOT NULL",
+                                f"filter(transform(_pw{i}, m -> {built}), m -> m.value <> '')"))
     firsts = ((STACK_TRACE, 0), (VERSION, 1), (None, 0), (INTERNAL_URL, 0))
     for i, (pattern, group) in enumerate(firsts):
         if wanted("framework", i):
-            det = F.col("dets")["framework"]
             if pattern is None:
-                test, value = content.contains(DEVTOOLS), F.lit(DEVTOOLS)
+                test, value = _contains(DEVTOOLS), sql_text(DEVTOOLS)
             else:
-                value = F.regexp_extract(content, pattern, group)
-                test = value != ""
-            out.append(_guarded(det.isNotNull() & test, F.array(_match(
-                "framework", det, i, F.lit(0), F.lit(f"{i}"), value, value))))
+                value = f"regexp_extract(content, {sql_text(pattern)}, {group})"
+                test = f"{value} <> ''"
+            out.append(_guarded(f"dets.framework IS NOT NULL AND {test}", "array(" + _match(
+                "framework", i, "0", f"'{i}'", value, value) + ")"))
     for i, (_, path, _) in enumerate(ENDPOINTS):
         if wanted("endpoints", i):
-            det = F.col("dets")["endpoints"]
             pattern = endpoint_pattern(path)
-            name_ = f"_ep{i}"
             searches.append(Search(
-                name_, det.isNotNull() & content.rlike(ANY_ENDPOINT) & content.rlike(pattern),
+                f"_ep{i}", f"dets.endpoints IS NOT NULL AND {_rlike(ANY_ENDPOINT)} AND {_rlike(pattern)}",
                 pattern, (1,), 40, 7))
-            out.append(_endpoint_matches(F.col(name_), det, i))
+            built = _match("endpoints", i, "m.pos", "m.value", "m.value", "m.whole", "m.left", "m.right")
+            out.append(_guarded(f"_ep{i} IS NOT NULL", f"transform(_ep{i}, m -> {built})"))
     if wanted("sourcemaps", 0):
-        det = F.col("dets")["sourcemaps"]
-        out.append(_plain("sourcemaps", det, 0,
-                          det.isNotNull() & content.contains("sourceMappingURL="),
-                          SOURCE_MAP, 1, seen=False))
+        out.append(_plain("sourcemaps", 0, _contains("sourceMappingURL="), SOURCE_MAP, 1, seen=False))
     if searches:
         bodies = with_context_matches(bodies, "content", searches)
     return bodies, out
@@ -381,7 +371,9 @@ def bundle_findings(assets: DataFrame, script_refs: DataFrame,
     out = found.join(refs, "asset_url").select(*KEYS, *ORDER, "severity", "category", "title",
         "description", "url", "asset_url", "evidence", "confidence")
     if responses is not None and "sourcemaps" in only:
-        out = out.unionByName(reachable_source_maps(out, responses))
+        maps = out if only == ("sourcemaps",) else bundle_findings(
+            assets, script_refs, None, ("sourcemaps",))
+        out = out.unionByName(reachable_source_maps(maps, responses))
     return out
 
 
