@@ -26,6 +26,18 @@ RULE = ["review_id", "file_ord", "rule_id", "category", "severity", "title", "fi
 class Views:
     """The derived capture tables of one data folder."""
 
+    _known: dict[tuple[str, str], "Views"] = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> "Views":
+        """Views shared by the queries of one application: the two finding tables are
+        written once (by the first query that needs them) and read by every count,
+        scenario and report, as in production."""
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in cls._known:
+            cls._known[key] = cls(spark, sf_dir)
+        return cls._known[key]
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
