@@ -43,6 +43,8 @@ class Views:
 
     def __getattr__(self, name: str) -> DataFrame:
         view = spark_view(self.spark, self.sf_dir, "fx_" + name)
+        if name in ("content", "review_files"):
+            view = captures.spread(view)
         self.__dict__[name] = view          # plans only, no data
         return view
 
@@ -51,7 +53,7 @@ class Views:
 
     @cached_property
     def pages(self) -> DataFrame:
-        return captures.pages(spark_view(self.spark, self.sf_dir, "fx_pages"))
+        return captures.pages(captures.spread(spark_view(self.spark, self.sf_dir, "fx_pages")))
 
     @cached_property
     def requests(self) -> DataFrame:
