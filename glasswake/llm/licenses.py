@@ -114,7 +114,7 @@ def _sql_text(s: str) -> str:
 def _sql_canonical(x: str) -> str:
     out = f"regexp_replace(lower({x}), {_sql_text(COPYRIGHT_LINE)}, '', 'g')"
     out = rf"trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
-    return "array_to_string(list_transform(string_split(" + out + ", ' '), w -> coalesce(" \
+    return "array_to_string(list_transform(string_split(" + out + ", ' '), lambda w: coalesce(" \
         "map {" + ", ".join(f"'{a}': '{b}'" for a, b in SPELLINGS.items()) + "}[w], w)), ' ')"
 
 
@@ -122,11 +122,11 @@ ORACLE = f"""
 WITH known AS (SELECT DISTINCT license, sha256({_sql_canonical('t')}) AS digest
   FROM (VALUES {", ".join(f"({_sql_text(a)}, {_sql_text(b)})" for a, b in KNOWN)}) AS k(license, t)),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-u AS (SELECT r, 0 AS at, t AS unit FROM d UNION ALL
+u AS (SELECT r, 0 AS pos, t AS unit FROM d UNION ALL
       SELECT r, i, ls[i] FROM (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS i
                                FROM (SELECT r, string_split(t, chr(10)) AS ls FROM d))),
-hit AS (SELECT r, max(CASE WHEN at = 0 THEN license END) AS whole_license,
-          string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(DISTINCT CASE WHEN at > 0 THEN at END) AS n_notices
+hit AS (SELECT r, max(CASE WHEN pos = 0 THEN license END) AS whole_license,
+          string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(DISTINCT CASE WHEN pos > 0 THEN pos END) AS n_notices
         FROM u JOIN known ON sha256({_sql_canonical('unit')}) = digest GROUP BY r)
 SELECT doc_id, whole_license, coalesce(licenses, '') AS licenses, CAST(coalesce(n_notices, 0) AS BIGINT) AS n_notices
 FROM d LEFT JOIN hit ON d.r = hit.r

@@ -100,12 +100,12 @@ def keep_good(docs: DataFrame) -> DataFrame:
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
-      list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 win AS (SELECT r, i, concat_ws(' ', ws[i], ws[i + 1], ws[i + 2]) AS g
         FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
 rep AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
 cov AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, (VALUES (0), (1), (2)) AS o(k) GROUP BY r),
-l AS (SELECT *, list_filter(ls, x -> NOT (
+l AS (SELECT *, list_filter(ls, lambda x: NOT (
         length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) * 10 > length(x)
         OR length(regexp_replace(x, '[^|>»›•·]', '', 'g')) >= 3
         OR (length(regexp_replace(x, '[^A-Z]', '', 'g')) >= 20
