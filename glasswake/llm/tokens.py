@@ -18,6 +18,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from glasswake.llm.common import buckets_for, cut, new_folder
 
 SHARD_CHARS = 16_000_000
-CACHE_UNITS = 500_000
+CACHE_UNITS = 450_000
+CORE_UNITS = 200_000         # the words met first stay in the cache: they are the frequent ones
 HEADER = "<HqI"
 HEADER_SIZE = struct.calcsize(HEADER)
 # Unicode white space, as the tokenizer's own pattern reads it
@@ -62,13 +64,16 @@ class Encoder:
 
     def _learn(self, units: list[str]) -> None:
         led = [u for u in units if u[0] == " "]
+        size = self.dtype.itemsize
         for i in range(0, len(led), 200):
             part = led[i:i + 200]
             ids = self._raw("".join(part))
             ends = np.cumsum([len(u.encode()) for u in part])
-            stops = np.searchsorted(np.cumsum(self.width[ids]), ends, side="left") + 1
-            for u, a, b in zip(part, np.r_[0, stops[:-1]], stops):
-                self.known[u] = ids[a:b].tobytes()
+            stops = (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1) * size
+            raw, at = ids.tobytes(), 0
+            for u, stop in zip(part, stops.tolist()):
+                self.known[u] = raw[at:stop]
+                at = stop
         for u in units:
             if u[0] != " ":
                 self.known[u] = self._raw(u).tobytes()
@@ -83,9 +88,9 @@ class Encoder:
         new = {u for u in units if u not in known}
         if new:
             if len(known) + len(new) > CACHE_UNITS:
-                known.clear()
-                new = set(units)
-            self._learn(sorted(new))
+                self.known = known = dict(islice(known.items(), CORE_UNITS))
+                new = {u for u in units if u not in known}
+            self._learn(list(new))
         return b"".join([known[u] for u in units])
 
 
