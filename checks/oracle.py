@@ -454,15 +454,15 @@ O["o_stored"] = f"""SELECT * EXCLUDE (red, hid), hid AS is_redacted, CASE WHEN h
  FROM (SELECT *, coalesce({_NEED} AND snippet <> '' AND red <> snippet, false) AS hid FROM (SELECT *, {redacted('snippet')} AS red FROM o_rv))"""
 O["o_kpr"] = """SELECT review_id, pr_url, payload AS p, unnest(CAST(json_extract(payload, '$.files[*]') AS JSON[])) AS f, generate_subscripts(json_extract(payload, '$.files[*]'), 1) - 1 AS i FROM fx_pr_payloads"""
 
-# ---- frontier: three levels unrolled ----------------------------------------
+# ---- frontier: three levels unrolled, with the limits of each scan ----------------------------------------
 _canon = lambda c: f"regexp_replace(split_part(split_part({c}, '#', 1), '?', 1), '/$', '') || CASE WHEN contains(split_part({c}, '#', 1), '?') THEN '?' || array_to_string(list_sort(string_split(split_part(split_part({c}, '#', 1), '?', 2), '&')), '&') ELSE '' END"
 O["o_edges"] = f"""SELECT l.scan_id, l.src_url AS src, {_canon('l.link')} AS dst, l.link_ord FROM fx_links l JOIN fx_crawls c ON l.scan_id = c.scan_id WHERE l.link LIKE regexp_extract(c.start_url, '^https?://[^/]+') || '/%' AND NOT (c.ignore_destructive AND contains(l.link, 'logout'))"""
 O["o_v0"] = "SELECT scan_id, start_url AS url, 0 AS depth, CAST(1 AS BIGINT) AS visit_rank FROM fx_crawls"
-for _d in (1, 2):
+for _d in (1, 2):    # no scan of the view goes deeper than the default of 2
     _all = " UNION ALL ".join(f"SELECT * FROM o_v{k}" for k in range(_d))
     O[f"o_v{_d}"] = f"""SELECT scan_id, url, {_d} AS depth, taken + rn AS visit_rank FROM (SELECT c.*, t.taken, row_number() OVER (PARTITION BY c.scan_id ORDER BY pr, link_ord) AS rn FROM (
- SELECT e.scan_id, e.dst AS url, p.visit_rank AS pr, e.link_ord FROM o_edges e JOIN o_v{_d - 1} p ON e.scan_id = p.scan_id AND e.src = p.url WHERE NOT EXISTS (SELECT 1 FROM ({_all}) v WHERE v.scan_id = e.scan_id AND v.url = e.dst)
- QUALIFY row_number() OVER (PARTITION BY e.scan_id, e.dst ORDER BY p.visit_rank, e.link_ord) = 1) c JOIN (SELECT scan_id, count(*) AS taken FROM ({_all}) v GROUP BY scan_id) t ON c.scan_id = t.scan_id) WHERE taken + rn <= 20"""
+ SELECT e.scan_id, e.dst AS url, p.visit_rank AS pr, e.link_ord FROM o_edges e JOIN o_v{_d - 1} p ON e.scan_id = p.scan_id AND e.src = p.url JOIN fx_crawls k ON e.scan_id = k.scan_id WHERE coalesce(k.max_depth, 2) >= {_d} AND NOT EXISTS (SELECT 1 FROM ({_all}) v WHERE v.scan_id = e.scan_id AND v.url = e.dst)
+ QUALIFY row_number() OVER (PARTITION BY e.scan_id, e.dst ORDER BY p.visit_rank, e.link_ord) = 1) c JOIN (SELECT scan_id, count(*) AS taken FROM ({_all}) v GROUP BY scan_id) t ON c.scan_id = t.scan_id) JOIN (SELECT scan_id AS k, coalesce(max_pages, 20) AS most FROM fx_crawls) lim ON scan_id = lim.k WHERE taken + rn <= most"""
 
 # ---- the queries ------------------------------------------------------------
 S: dict[str, str] = {}

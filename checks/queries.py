@@ -24,27 +24,13 @@ RULE = ["review_id", "file_ord", "rule_id", "category", "severity", "title", "fi
 
 
 class Views:
-    """The derived capture tables of one data folder."""
-
-    _known: dict[tuple[str, str], "Views"] = {}
-
-    @classmethod
-    def of(cls, spark: SparkSession, sf_dir: str) -> "Views":
-        """Views shared by the queries of one application: the two finding tables are
-        written once (by the first query that needs them) and read by every count,
-        scenario and report, as in production."""
-        key = (spark.sparkContext.applicationId, sf_dir)
-        if key not in cls._known:
-            cls._known[key] = cls(spark, sf_dir)
-        return cls._known[key]
+    """The derived capture tables of one data folder, planned anew for every query."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
         view = spark_view(self.spark, self.sf_dir, "fx_" + name)
-        if name in ("content", "review_files"):
-            view = captures.spread(view)
         self.__dict__[name] = view          # plans only, no data
         return view
 
@@ -53,7 +39,7 @@ class Views:
 
     @cached_property
     def pages(self) -> DataFrame:
-        return captures.pages(captures.spread(spark_view(self.spark, self.sf_dir, "fx_pages")))
+        return captures.pages(spark_view(self.spark, self.sf_dir, "fx_pages"))
 
     @cached_property
     def requests(self) -> DataFrame:
@@ -602,7 +588,7 @@ def _(v):
 
 @query("crawl_frontier")
 def _(v):
-    return frontier.crawl(v.crawls, v.links, 20, 2).select("scan_id", "url", "depth", "visit_rank")
+    return frontier.crawl(v.crawls, v.links).select("scan_id", "url", "depth", "visit_rank")
 
 
 @query("page_caps")

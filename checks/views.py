@@ -137,7 +137,8 @@ def views(engine: str) -> dict[str, str]:
  concat(CASE WHEN k.x = 5 THEN 'https://other.example.org' ELSE concat('https://site', CAST(scan_id AS STRING), '.example.com') END, '/p/', CAST(((page_id - 50 * scan_id) * 3 + k.x) % 50 AS STRING),
  CASE k.x WHEN 0 THEN '/' WHEN 1 THEN '?b=2&a=1' WHEN 2 THEN '#top' WHEN 3 THEN '/logout' ELSE '' END) AS link
  FROM (SELECT page_id, CAST(floor(page_id / 50) AS BIGINT) AS scan_id FROM pages) p {rows('k', 'x', [(i,) for i in range(6)])}"""
-    v["fx_crawls"] = """SELECT scan_id, concat('https://site', CAST(scan_id AS STRING), '.example.com/p/0') AS start_url, true AS same_origin, scan_id % 2 = 0 AS ignore_destructive
+    v["fx_crawls"] = """SELECT scan_id, concat('https://site', CAST(scan_id AS STRING), '.example.com/p/0') AS start_url, true AS same_origin, scan_id % 2 = 0 AS ignore_destructive,
+ CASE scan_id % 3 WHEN 1 THEN 5 WHEN 2 THEN 30 END AS max_pages, CASE scan_id % 4 WHEN 1 THEN 1 WHEN 3 THEN 2 END AS max_depth
  FROM (SELECT DISTINCT CAST(floor(page_id / 50) AS BIGINT) AS scan_id FROM pages) t"""
     v["fx_reviews"] = """SELECT o_orderkey AS review_id, concat('https://github.com/org', CAST(o_custkey % 5 AS STRING), '/repo', CAST(o_custkey % 7 AS STRING), CASE WHEN o_orderkey % 9 = 8 THEN '/issues/' ELSE '/pull/' END, CAST(o_orderkey AS STRING)) AS pr_url,
  CASE o_orderstatus WHEN 'F' THEN 'fail' WHEN 'P' THEN 'warn' ELSE 'pass' END AS checks_status, CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_custkey % 3 = 0 END AS reviewer_assigned,

@@ -32,8 +32,6 @@ CHECK_POINTS = {"fail": 2, "warn": 1}
 HIGH_RISK, MEDIUM_RISK, BLOCK_SCORE = 7, 3, 12
 FOCUS_FILES, ENRICHED = 5, 5
 REVIEW_SEVERITY = {"high": 3, "medium": 2, "low": 1}
-# a review with more (service file, test file) combinations takes the substring route
-PAIR_LIMIT = 10_000
 
 
 def file_facts(files: DataFrame) -> DataFrame:
@@ -105,44 +103,33 @@ def missing_tests(review: DataFrame) -> DataFrame:
             F.col("first_logic"), None, F.when(F.col("n_service") > 0, 3).otherwise(2))])
 
 
-def untested_service_files(facts: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+def untested_service_files(facts: DataFrame) -> DataFrame:
     """Changed service files whose base name occurs in no test path of the change.
 
-    "Occurs in" is no equality, so small reviews use an anti join on review_id with
-    a ``contains`` condition.  For a review whose service x test combinations exceed
-    ``pair_limit`` that would be quadratic; there every test path is cut into
-    substrings of the lengths the base names have, which makes it an equi anti join
-    that is linear in the number of files.  Both routes are exact.
+    "Occurs in" is no equality.  Every test path is cut into its substrings of the lengths
+    that base names of the review have, which makes it an equi anti join, linear in the
+    number of files whatever the size of a review.
     """
-    service = facts.filter("logic_changed AND is_service").select(
+    is_service = F.col("logic_changed") & F.col("is_service")
+    service = facts.filter(is_service).select(
         "review_id", "file_ord", "path", base_name(F.col("path")).alias("base"))
-    tests = facts.filter("is_test").select("review_id", F.col("path").alias("test_path"))
-    sizes = facts.groupBy("review_id").agg(
-        F.count_if(F.col("logic_changed") & F.col("is_service")).alias("_s"),
-        F.count_if("is_test").alias("_t"),
-        # path lengths are bounded, so this set is too
-        F.collect_set(F.when(F.col("logic_changed") & F.col("is_service"),
-                             F.length(base_name(F.col("path"))))).alias("_lengths"))
-    sizes = sizes.filter("_s > 0 AND _t > 0").withColumn(
-        "_big", F.col("_s") * F.col("_t") > pair_limit)
-    service = service.join(sizes.select("review_id", "_big"), "review_id")
-    small = service.filter(~F.col("_big")).alias("s")
-    t = tests.alias("t")
-    small = small.join(t, (F.col("s.review_id") == F.col("t.review_id"))
-                       & F.contains(F.col("t.test_path"), F.col("s.base")), "left_anti")
-    pieces = tests.distinct().join(sizes.filter("_big").select("review_id", "_lengths"), "review_id")
-    pieces = pieces.withColumn("_n", F.explode("_lengths")).filter(F.length("test_path") >= F.col("_n"))
+    tests = facts.filter("is_test").select("review_id", F.col("path").alias("test_path")).distinct()
+    # path lengths are bounded, so this set is too
+    lengths = service.groupBy("review_id").agg(F.collect_set(F.length("base")).alias("_lengths"))
+    pieces = tests.join(lengths, "review_id").withColumn("_n", F.explode("_lengths")).filter(
+        F.length("test_path") >= F.col("_n"))
     pieces = pieces.withColumn("_at", F.explode(F.sequence(
         F.lit(1), F.length("test_path") - F.col("_n") + 1)))
     pieces = pieces.select("review_id", F.substring(
         F.col("test_path"), F.col("_at"), F.col("_n")).alias("base")).distinct()
-    big = service.filter("_big").join(pieces, ["review_id", "base"], "left_anti")
-    columns = ["review_id", "file_ord", "path", "base"]
-    return small.select(*columns).unionByName(big.select(*columns))
+    # only a change with tests can leave a service without one (no tests at all is another rule)
+    return (service.join(tests.select("review_id").distinct(), "review_id", "left_semi")
+            .join(pieces, ["review_id", "base"], "left_anti")
+            .select("review_id", "file_ord", "path", "base"))
 
 
-def untested_services(facts: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    per_review = untested_service_files(facts, pair_limit).groupBy("review_id").agg(
+def untested_services(facts: DataFrame) -> DataFrame:
+    per_review = untested_service_files(facts).groupBy("review_id").agg(
         F.count("*").alias("n"), F.min_by("path", "file_ord").alias("path"))
     return emit_reviews(per_review, [review_finding(
         "tests", 0, 2, "tests/service-without-test", "tests", "medium",

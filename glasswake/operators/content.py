@@ -14,7 +14,7 @@ from glasswake.functions import html as H
 from glasswake.functions.bind import bind
 from glasswake.functions.text import (
     WHITESPACE, Search, is_high_entropy, is_password_placeholder, is_placeholder,
-    is_trivial_password, sql_text, strip, with_context_matches,
+    is_trivial_password, redact_snippet, sql_text, strip, with_context_matches,
 )
 from glasswake.functions.urls import with_resolved
 from glasswake.operators.clientstate import SENSITIVE_KEY
@@ -71,6 +71,28 @@ PASSWORDS = (
     ("SMTP URI with embedded password",
      r"""(?i)smtps?://[^:@\s"']+:([^@\s"']{3,})@""", (1,), True, "://"),
 )
+# Own patterns: what reports hide, also where the evidence was cut inside a value.
+_HIDDEN = (
+    (r"""(['"`])[A-Za-z0-9+/=_\-!@#$%^&*]{6,}\z""", "[REDACTED]"),
+    (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]*PRIVATE KEY-----|\z)", "[REDACTED]"),
+    (r"""(?i)((?:postgres(?:ql)?|mysql|mariadb|mongodb|rediss?|amqps?|s?ftp|smtps?)(?:\+\w+)?"""
+     r"""://[^:@\s"'/]*:)[^@\s"']+(@|\z)""", "$1[REDACTED]$2"),
+    (r"""(?i)(https?://[^:@\s"'/]*:)[^@\s"'/]+@""", "$1[REDACTED]@"),
+    (r"""(?i)((?:pass(?:word|wd)?|pwd|secret|token|api[_\-]?key)["']?\s*[:=]\s*)["']?[^\s"',;&\[]{3,}["']?""",
+     "$1[REDACTED]"),
+)
+
+
+def redact_secrets(evidence: Column) -> Column:
+    """The text with every value hidden that a secret or password rule would find in it."""
+    text = redact_snippet(evidence)["redacted_snippet"]
+    for pattern, shown in _HIDDEN:
+        text = F.regexp_replace(text, pattern, shown)
+    for _, pattern, *_ in SECRETS:
+        text = F.regexp_replace(text, pattern, "[REDACTED]")
+    return text
+
+
 STACK_TRACE = (r"(?:Error|TypeError|ReferenceError|SyntaxError):[^\n]+\n\s+at\s+\S+\s+"
                r"\([^)]+\)")
 VERSION = r'"version":\s*"(\d+\.\d+\.\d+)"'

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from glasswake.functions.bind import bind
-
 KEYS = ["scan_id", "page_id"]
 ORDER = ["det_ord", "item_ord", "rule_ord", "pos"]
 FIELDS = ["severity", "category", "title", "description", "url", "asset_url",
@@ -114,20 +114,20 @@ def gate(findings: DataFrame, options: DataFrame) -> DataFrame:
     """Drop findings of detectors that the scan's options switch off.
 
     ``options`` has one row per scan, so this is an equi join on scan_id whose
-    strategy (and skew split) adaptive execution picks from the real sizes.
+    strategy (and skew split) adaptive execution picks from the real sizes.  A scan
+    without a row, or with a NULL flag, has the default options.
     """
-    allowed = []
+    flag = lambda name: F.coalesce(F.col("opt")[name], F.lit(DEFAULT_OPTIONS[name]))
+    rows = findings.join(options.select("scan_id", "opt"), "scan_id", "left")
+    off = [F.lit(False)]
     for name, gates in GATES.items():
-        ok = F.lit(True)
         for g in gates:
-            either = F.lit(False)
-            for flag in g.split("|"):
-                either = either | F.col("opt")[flag]
-            ok = ok & either
-        allowed.append(F.when(ok, F.lit(DET[name])))
-    flags = bind(options, "_on", F.array_compact(F.array(*allowed))).select("scan_id", "_on")
-    return (findings.join(flags, "scan_id")
-            .filter(F.array_contains("_on", F.col("det_ord"))).drop("_on"))
+            none = F.lit(True)
+            for f in g.split("|"):
+                none = none & ~flag(f)
+            off.append((F.col("det_ord") == DET[name]) & none)
+    gated = F.col("det_ord").isin(*[DET[name] for name in GATES])
+    return rows.filter(gated & ~reduce(or_, off)).drop("opt")
 
 
 def severity_rank(c: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from glasswake.operators.content import redact_secrets
 from glasswake.operators.findings import ORDER, first_per
 
 # ---- fixed values -----------------------------------------------------------
@@ -166,7 +167,7 @@ def scenario_evidence(findings: DataFrame) -> DataFrame:
     tags = F.array_compact(F.array(*[F.when(m, F.lit(k)) for k, m in memberships().items()]))
     rows = findings.select(
         "scan_id", "page_id", *ORDER, "category", "title", "url",
-        F.left("evidence", F.lit(EVIDENCE_LENGTH)).alias("evidence_snippet"), "asset_url",
+        F.left("evidence", F.lit(EVIDENCE_LENGTH)).alias("evidence_snippet"), "evidence", "asset_url",
         F.explode(tags).alias("scenario_type"))
     late = F.when(F.col("det_ord") >= 31, 2).when(F.col("det_ord") == 0, 0).otherwise(1)
     return first_per(rows.withColumn("_late", late), ["scan_id", "scenario_type"],
@@ -174,7 +175,9 @@ def scenario_evidence(findings: DataFrame) -> DataFrame:
 
 
 def scenarios_with_evidence(findings: DataFrame, inventory: DataFrame) -> DataFrame:
-    top = scenario_evidence(findings)
+    # hidden first, cut second: a value must not lose the mark that ends it
+    top = scenario_evidence(findings).withColumn(
+        "evidence_snippet", F.left(redact_secrets(F.col("evidence")), F.lit(EVIDENCE_LENGTH)))
     order = ["_late", "page_id", *ORDER, "url", "asset_url", "title"]
     fields = ["category", "title", "url", "evidence_snippet"]
     # five small rows per group at most

@@ -47,12 +47,13 @@ def script_findings(pages: DataFrame, only: tuple[str, ...] | None = None) -> Da
 
 
 def third_party_requests(requests: DataFrame, scans: DataFrame) -> DataFrame:
-    """Script requests outside the scan's own origin."""
+    """Script requests outside the scan's own origin; a scan that has no row has no origin
+    of its own, so all its scripts are third party."""
     rows = with_url(requests.filter(F.col("resource_type") == "script"), "url", "u")
     rows = rows.filter("u IS NOT NULL").withColumn("origin", F.col("u")["origin"]).withColumn(
         "host", F.regexp_replace(F.col("u")["netloc"], r":\d+\z", "")).drop("u")
     own = scans.select("scan_id", F.col("origin").alias("scan_origin"))
-    return rows.join(own, "scan_id").filter(F.col("origin") != F.col("scan_origin"))
+    return rows.join(own, "scan_id", "left").filter(~F.col("origin").eqNullSafe(F.col("scan_origin")))
 
 
 def origins_without_integrity(findings: DataFrame) -> DataFrame:

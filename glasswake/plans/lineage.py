@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; without one a cluster is refused, and a
+    session on one machine gets a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="checkpoints-")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a temporary folder only
-    where none is named (tests on one machine)."""
+    """Reliable checkpoint in the folder the session names."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)

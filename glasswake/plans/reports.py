@@ -12,7 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from glasswake.functions.text import redact_snippet, truncate
+from glasswake.functions.text import truncate
+from glasswake.operators.content import redact_secrets
 from glasswake.operators import change_review as cr, findings as fi, scenarios as sc
 from glasswake.operators.responses import content_type
 
@@ -25,9 +26,9 @@ HANDOFF = ("read the scenarios first", "separate real problems from false alarms
            "keep server changes apart", "check high findings by hand")
 
 
-def evidence_safe(evidence: Column) -> Column:
-    """Evidence for reports: secrets hidden, then cut."""
-    return truncate(redact_snippet(evidence)["redacted_snippet"], EVIDENCE_LENGTH)
+def evidence_safe(evidence: Column, limit: int = EVIDENCE_LENGTH) -> Column:
+    """Evidence for reports: every kind of secret the rules know is hidden, then it is cut."""
+    return truncate(redact_secrets(evidence), limit)
 
 
 def _line(key: str, section: str, keys: list[Column], body: Column, position: int):
@@ -87,8 +88,7 @@ def ingestion_report(scans: DataFrame, findings: DataFrame, pages: DataFrame,
                 F.col("time_to_discover").alias("timeToDiscover"), "impact", "confidence",
                 "recommendation", F.transform("evidence", lambda e: F.struct(
                     e["category"].alias("category"), e["title"].alias("title"), e["url"].alias("url"),
-                    redact_snippet(e["evidence_snippet"])["redacted_snippet"]
-                    .alias("evidenceSnippet"))).alias("evidence"), "rank"), 7)),
+                    e["evidence_snippet"].alias("evidenceSnippet"))).alias("evidence"), "rank"), 7)),
         done.select(*_line("scan_id", "handoff", [], F.struct(
             F.array(*map(F.lit, HANDOFF)).alias("recommendedWorkflow")), 8)),
     ]

@@ -1,15 +1,15 @@
 """The site scan: captured tables in, deduplicated findings out, one lazy plan.
 
-Rules are kept in a registry by name.  A rule that cannot be planned for the given
-tables (say, a table is missing) is skipped and reported, the others still run.
+Rules are kept in a registry by name.  A rule whose table was not captured does not
+apply; a rule that cannot be planned for a given table (say, a column is missing) is an
+error, so that no result looks complete without it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from glasswake.functions.html import linked_scripts
@@ -34,7 +34,6 @@ class Captures:
     map_responses: DataFrame | None = None
     options: DataFrame | None = None       # scan_id, opt
     strict_dedup: bool = False
-    skipped: list[str] = field(default_factory=list)
 
 
 def _page_addresses(pages: DataFrame) -> DataFrame:
@@ -82,12 +81,9 @@ def raw_findings(c: Captures, enabled: tuple[str, ...] | None = None) -> DataFra
             continue
         if name in NEEDS and getattr(c, NEEDS[name]) is None:
             continue
-        try:
-            parts.append(rule(c))
-        except AnalysisException as e:
-            c.skipped.append(f"{name}: {e}")
+        parts.append(rule(c))
     if not parts:
-        raise ValueError("no rule could be planned: " + "; ".join(c.skipped))
+        raise ValueError("no enabled rule has its table")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

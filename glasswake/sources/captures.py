@@ -38,13 +38,6 @@ PR_SCHEMA = T.StructType([
 ])
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the input has fewer splits than the cluster has cores (few
-    small files).  A large input has many splits and is left alone: no shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages(spark.read.schema(PAGE_SCHEMA).parquet(path))
 

@@ -10,9 +10,11 @@ from glasswake.plans.lineage import cut
 BUCKETS = 64
 
 
-def append_findings(findings: DataFrame, path: str, scan_date: str) -> None:
-    (findings.withColumn("scan_date", F.lit(scan_date)).write.mode("append")
-     .partitionBy("scan_date").parquet(path))
+def append_findings(findings: DataFrame, path: str, scan_date: str, run_id: str) -> None:
+    """Add the findings of one run.  A retried run replaces its own rows only."""
+    (findings.withColumn("scan_date", F.lit(scan_date)).withColumn("run_id", F.lit(run_id))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("scan_date", "run_id").parquet(path))
 
 
 def write_json(report: DataFrame, path: str) -> None:
@@ -34,8 +36,10 @@ def replace_reviews(findings: DataFrame, reviews: DataFrame, path: str,
     touched = reviews.select("review_id").distinct().withColumn("bucket", bucket)
     try:
         old = spark.read.parquet(path)
-    except AnalysisException:                   # first run: nothing to replace
-        old = None
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":    # an unreadable store must not be overwritten
+            raise
+        old = None                              # first run: nothing to replace
     if old is not None:
         # at most ``buckets`` distinct integers, so they can prune partitions directly
         hit = [r[0] for r in touched.select("bucket").distinct().collect()]

@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.oracle import ORACLE
-from checks.queries import QUERIES
+from checks.queries import QUERIES, Views
 from checks.views import TABLES
 
 DATA = "/root/testdata/sf0.001"
@@ -27,14 +27,20 @@ def duck():
     return c
 
 
+@pytest.fixture(scope="session")
+def views(spark):
+    """One set of views for all tests, so that shared finding tables are built once."""
+    return Views(spark, DATA)
+
+
 def test_every_query_has_a_counterpart():
     assert set(QUERIES) == set(ORACLE)
     assert set(QUERIES) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_query_matches_sql(spark, duck, name):
-    df = entry.queries()[name](spark, DATA)
+def test_query_matches_sql(views, duck, name):
+    df = QUERIES[name](views)
     cols = sorted(df.columns)
     got = sorted(str(tuple(r)) for r in df.select(*cols).collect())
     cursor = duck.execute(entry.oracle_sql()[name])
