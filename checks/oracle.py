@@ -561,12 +561,12 @@ O["o_report"] = f"""SELECT scan_id, 'target' AS section, CAST(NULL AS BIGINT) AS
  UNION ALL SELECT scan_id, 'summary', NULL, NULL, NULL, NULL, NULL, {_S('findings_count')}, status FROM fx_scans JOIN o_counts USING (scan_id)
  UNION ALL SELECT scan_id, 'options', NULL, NULL, NULL, NULL, NULL, NULL, status FROM fx_scans UNION ALL SELECT scan_id, 'handoff', NULL, NULL, NULL, NULL, NULL, NULL, status FROM fx_scans
  UNION ALL SELECT f.scan_id, 'finding', {_RANK}, category, page_id, concat_ws(':', {_S('f.scan_id')}, coalesce({_S('page_id')}, '-'), {_S('det_ord')}, {_S('item_ord')}, {_S('rule_ord')}, {_S('pos')}, CASE WHEN det_ord > 16 THEN md5(coalesce(asset_url, '')) END), {_SRC}, NULL, s.status FROM o_findings f JOIN fx_scans s ON f.scan_id = s.scan_id
- UNION ALL SELECT scan_id, 'page', page_id, NULL, NULL, {_S('page_id')}, url, NULL, status FROM fx_pages JOIN (SELECT scan_id, status FROM fx_scans) s USING (scan_id)
+ UNION ALL SELECT scan_id, 'page', page_id, NULL, NULL, {_S('page_id')}, coalesce(CASE WHEN json_valid(headers_json) THEN coalesce(headers_json->>'$."content-type"', headers_json->>'$."Content-Type"') END, url), NULL, status FROM fx_pages JOIN (SELECT scan_id, status FROM fx_scans) s USING (scan_id)
  UNION ALL SELECT r.scan_id, 'request', request_id, NULL, NULL, {_S('request_id')}, coalesce(CASE WHEN json_valid(response_headers_json) THEN coalesce(response_headers_json->>'$."content-type"', response_headers_json->>'$."Content-Type"') END, r.url), NULL, s.status FROM fx_requests r JOIN fx_scans s ON r.scan_id = s.scan_id
  UNION ALL SELECT i.scan_id, 'script_domain', -script_count, i.origin, NULL, i.origin, NULL, {_S('script_count')}, s.status FROM o_inventory i JOIN fx_scans s ON i.scan_id = s.scan_id
  UNION ALL SELECT o.scan_id, 'scenario', row_number() OVER (PARTITION BY o.scan_id ORDER BY score DESC, scenario_type), NULL, NULL, scenario_type, impact, {_S('row_number() OVER (PARTITION BY o.scan_id ORDER BY score DESC, scenario_type)')}, s.status FROM o_scored o JOIN fx_scans s ON o.scan_id = s.scan_id"""
 S["ingestion_report"] = "SELECT * EXCLUDE (status) FROM o_report WHERE status = 'completed'"
-S["scan_export"] = f"""SELECT scan_id, section, k0, k1, k2, id, CASE WHEN section = 'finding' THEN furl ELSE fact END AS fact, CAST(NULL AS STRING) AS number FROM (SELECT *, CAST(NULL AS STRING) AS furl FROM o_report WHERE section = 'page'
+S["scan_export"] = f"""SELECT scan_id, section, k0, k1, k2, id, CASE WHEN section = 'finding' THEN furl ELSE fact END AS fact, CAST(NULL AS STRING) AS number FROM (SELECT o.* REPLACE (p.url AS fact), CAST(NULL AS STRING) AS furl FROM o_report o JOIN fx_pages p ON o.k0 = p.page_id WHERE section = 'page'
  UNION ALL SELECT f.scan_id, 'finding', {_RANK}, category, page_id, concat_ws(':', {_S('f.scan_id')}, coalesce({_S('page_id')}, '-'), {_S('det_ord')}, {_S('item_ord')}, {_S('rule_ord')}, {_S('pos')}, CASE WHEN det_ord > 16 THEN md5(coalesce(asset_url, '')) END), NULL, NULL, NULL, url FROM o_findings f)
  UNION ALL SELECT scan_id, 'scan', NULL, NULL, NULL, {_S('scan_id')}, target_url, NULL FROM fx_scans"""
 for _n in FILE_RULES:

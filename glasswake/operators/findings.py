@@ -130,6 +130,11 @@ def gate(findings: DataFrame, options: DataFrame) -> DataFrame:
     return rows.filter(gated & ~reduce(or_, off)).drop("opt")
 
 
+def request_of() -> Column:
+    """The request a finding was made on; NULL for all but findings on request addresses."""
+    return F.when(F.col("det_ord") == DET["request_url"], F.col("item_ord"))
+
+
 def severity_rank(c: Column) -> Column:
     rank = F.lit(99)
     for i, s in reversed(list(enumerate(SEVERITIES))):

@@ -92,3 +92,32 @@ def test_a_cluster_must_name_the_checkpoint_folder(spark):
 
     with pytest.raises(ValueError):
         checkpoint_dir(Elsewhere)
+
+
+def test_report_heads_are_complete(spark):
+    import json
+    scans = spark.createDataFrame([(1, "https://a.org/", "https://a.org", "completed", '{"maxPages":5,"searchSecrets":false}', "s", "f"),
+                                   (2, "https://b.org/", "https://b.org", "completed", "not json", None, None)],
+                                  "scan_id long, target_url string, origin string, status string, options_json string, "
+                                  "started_at string, finished_at string")
+    pages = spark.createDataFrame([(1, 7, "https://a.org/", 0, 200, "A", {"content-type": "text/html"})],
+                                  "scan_id long, page_id long, url string, depth int, status_code int, title string, "
+                                  "headers map<string,string>")
+    requests = spark.createDataFrame([(1, 7, 70, "https://a.org/x?token=abcdefgh12345678", "xhr", "GET", 204, None)],
+                                     "scan_id long, page_id long, request_id long, url string, resource_type string, method string, "
+                                     "status_code int, response_headers map<string,string>")
+    from glasswake.operators import addresses
+    from glasswake.plans.site_scan import _request_addresses
+    found = fi.with_finding_id(addresses.param_findings(_request_addresses(requests), "request_url"))
+    inventory = scripts.script_inventory(requests, scans, found)
+    lines = reports.ingestion_report(scans, found, pages, requests, inventory,
+                                     fi.severity_counts(scans, found, pages, requests), "2024-01-01T00:00:00Z").collect()
+    body = {(r.scan_id, r.section): json.loads(r.body) for r in lines}
+    head = body[1, "target"]
+    assert (head["version"], head["generatedAt"], head["startedAt"], head["finishedAt"]) == ("1.0", "2024-01-01T00:00:00Z", "s", "f")
+    assert body[1, "options"]["scanOptions"] == {"maxPages": 5, "searchSecrets": False}
+    assert body[2, "options"]["scanOptions"] == {}
+    assert (body[1, "page"]["statusCode"], body[1, "page"]["contentType"]) == (200, "text/html")
+    assert (body[1, "request"]["pageId"], body[1, "request"]["method"], body[1, "request"]["statusCode"]) == (7, "GET", 204)
+    assert body[1, "finding"]["requestId"] == 70
+    assert body[2, "handoff"]["futurePromptPreset"] == {"enabled": False, "instructions": []}
