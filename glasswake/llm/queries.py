@@ -7,7 +7,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glasswake.llm import (digest, licenses, lm, mixing, packing, pages, quality, simhash, tokens, toxicity)
+from glasswake.llm import (alignment, digest, licenses, lm, mixing, overlap, packing, pages, quality, simhash, tokens,
+                           toxicity, whitening)
 from glasswake.llm.common import table
 
 CAPACITY = 2048
@@ -28,10 +29,10 @@ def on_workers(run):
     return started
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @on_workers
@@ -84,9 +85,25 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), CAPACITY)
 
 
+@on_workers
+def op11_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@on_workers
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
+
+
+@on_workers
+def op13_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_index, op2_license_digests, op3_fair_mix, op4_improbable_features, op5_main_text, op6_simhash_groups,
-    op7_toxicity, op8_line_quality, op9_bloom_lm, op10_best_fit)}
+    op7_toxicity, op8_line_quality, op9_bloom_lm, op10_best_fit, op11_block_whitening, op12_token_alignment,
+    op13_jaccard_classes)}
 
 #: The other operators have no SQL counterpart and are tested against brute force.
 ORACLE = {"op2_license_digests": licenses.ORACLE, "op8_line_quality": quality.ORACLE}
