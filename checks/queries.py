@@ -700,7 +700,7 @@ def _(v):
 
 @query("rv_untested_service")
 def _(v):
-    return cr.untested_services(cr.file_facts(v.review_files)).select(
+    return cr.untested_services(cut(cr.file_facts(v.review_files))).select(
         "review_id", "rule_id", "severity", "summary", "file_path", "score_impact")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from glasswake.functions.bind import bind
 from glasswake.functions.text import strip
 
 HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)"
@@ -18,11 +19,17 @@ def is_removed(line: Column) -> Column:
     return line.startswith("-") & ~line.startswith("---")
 
 
+def split_patch(files: DataFrame) -> DataFrame:
+    """All files with arrays ``lines``, ``added`` and ``removed`` (empty without a patch), each
+    made once per row however many rules read it."""
+    df = bind(files, "lines", F.split(F.coalesce("patch", F.lit("")), "\n", -1))
+    df = bind(df, "signed", F.struct(F.filter("lines", is_added).alias("added"), F.filter("lines", is_removed).alias("removed")))
+    return df.select("*", "signed.added", "signed.removed").drop("signed")
+
+
 def with_lines(files: DataFrame) -> DataFrame:
     """Files that have a patch, with arrays ``lines``, ``added`` and ``removed``."""
-    df = files.filter("patch <> ''").withColumn("lines", F.split("patch", "\n", -1))
-    return (df.withColumn("added", F.filter("lines", is_added))
-            .withColumn("removed", F.filter("lines", is_removed)))
+    return split_patch(files.filter("patch <> ''"))
 
 
 def patch_lines(files: DataFrame) -> DataFrame:

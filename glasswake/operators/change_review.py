@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from glasswake.functions.patch import is_added, patch_text
+from glasswake.functions.bind import bind
+from glasswake.functions.patch import patch_text, split_patch
 from glasswake.functions.paths import base_name, file_class, is_logic, is_service, is_test
 from glasswake.operators.change_rules import (
-    LOGIC_LINES, REVIEW_FIELDS, SYNONYMS, emit_reviews, file_findings, group_masks,
-    logic_line_count, review_finding, term_mask,
+    LOGIC_LINES, REVIEW_FIELDS, SYNONYMS, emit_reviews, explode_hits, group_masks,
+    logic_line_count, review_finding, term_mask, with_hits,
 )
 from glasswake.operators.findings import first_per
+from glasswake.plans.lineage import cut
 
 # ---- fixed values -----------------------------------------------------------
 LARGE_FILES, LARGE_LINES, MEDIUM_FILES, MEDIUM_LINES, STALE_DAYS = 15, 400, 5, 100, 7
@@ -31,23 +33,36 @@ WEIGHTS = {
 CHECK_POINTS = {"fail": 2, "warn": 1}
 HIGH_RISK, MEDIUM_RISK, BLOCK_SCORE = 7, 3, 12
 FOCUS_FILES, ENRICHED = 5, 5
+GRAM = 3
 REVIEW_SEVERITY = {"high": 3, "medium": 2, "low": 1}
 
 
+FACTS = ["review_id", "file_ord", "path", "additions", "deletions", "file_class", "is_test", "is_service",
+         "logic_changed", "terms"]
+
+
+def _facts(files: DataFrame) -> DataFrame:
+    """Adds the facts to files that carry their ``added`` lines."""
+    path = F.col("path")
+    df = bind(files, "text_", patch_text(F.col("added")))
+    return df.withColumns({
+        "additions": F.coalesce("additions", F.lit(0)), "deletions": F.coalesce("deletions", F.lit(0)),
+        "file_class": file_class(path), "is_test": is_test(path), "is_service": is_service(path),
+        "logic_changed": is_logic(path) & (logic_line_count(F.col("added")) >= LOGIC_LINES),
+        "terms": term_mask(F.col("text_"))}).drop("text_")
+
+
 def file_facts(files: DataFrame) -> DataFrame:
     """Per file: class and test flags, logic change, synonym bits.  No shuffle."""
-    added = F.filter(F.split(F.coalesce("patch", F.lit("")), "\n", -1), is_added)
-    df = files.withColumn("_added", added)
-    df = df.withColumn("_text", patch_text(F.col("_added")))
-    path = F.col("path")
-    return df.select(
-        "review_id", "file_ord", "path",
-        F.coalesce("additions", F.lit(0)).alias("additions"),
-        F.coalesce("deletions", F.lit(0)).alias("deletions"),
-        file_class(path).alias("file_class"), is_test(path).alias("is_test"),
-        is_service(path).alias("is_service"),
-        (is_logic(path) & (logic_line_count(F.col("_added")) >= LOGIC_LINES)).alias("logic_changed"),
-        term_mask(F.col("_text")).alias("terms"))
+    keep = files.select("review_id", "file_ord", "path", "additions", "deletions", "patch")
+    return _facts(split_patch(keep)).select(*FACTS)
+
+
+def file_results(files: DataFrame) -> DataFrame:
+    """Facts and ``hits`` (the findings of all file rules) of every file, in one pass over its
+    patch and without a shuffle."""
+    keep = files.select("review_id", "file_ord", "path", "additions", "deletions", "patch")
+    return _facts(with_hits(split_patch(keep))).select(*FACTS, "hits")
 
 
 def review_facts(facts: DataFrame) -> DataFrame:
@@ -103,28 +118,43 @@ def missing_tests(review: DataFrame) -> DataFrame:
             F.col("first_logic"), None, F.when(F.col("n_service") > 0, 3).otherwise(2))])
 
 
+def _grams(text: Column, n: int) -> Column:
+    """The distinct pieces of ``n`` characters."""
+    ends = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(ends, lambda i: F.substring(text, i, F.lit(n)))))
+
+
 def untested_service_files(facts: DataFrame) -> DataFrame:
     """Changed service files whose base name occurs in no test path of the change.
 
-    "Occurs in" is no equality.  Every test path is cut into its substrings of the lengths
-    that base names of the review have, which makes it an equi anti join, linear in the
-    number of files whatever the size of a review.
+    "Occurs in" is no equality.  A path that holds a name holds all its pieces of GRAM
+    characters (shorter names are one piece), so each name looks for the piece that the
+    fewest test paths of the review have, in an index of the pieces of those paths, and only
+    what it finds is compared.  Names with a piece that no path has need no comparison.
     """
     is_service = F.col("logic_changed") & F.col("is_service")
     service = facts.filter(is_service).select(
         "review_id", "file_ord", "path", base_name(F.col("path")).alias("base"))
     tests = facts.filter("is_test").select("review_id", F.col("path").alias("test_path")).distinct()
-    # path lengths are bounded, so this set is too
-    lengths = service.groupBy("review_id").agg(F.collect_set(F.length("base")).alias("_lengths"))
-    pieces = tests.join(lengths, "review_id").withColumn("_n", F.explode("_lengths")).filter(
-        F.length("test_path") >= F.col("_n"))
-    pieces = pieces.withColumn("_at", F.explode(F.sequence(
-        F.lit(1), F.length("test_path") - F.col("_n") + 1)))
-    pieces = pieces.select("review_id", F.substring(
-        F.col("test_path"), F.col("_at"), F.col("_n")).alias("base")).distinct()
+    reviews = tests.select("review_id").distinct()
     # only a change with tests can leave a service without one (no tests at all is another rule)
-    return (service.join(tests.select("review_id").distinct(), "review_id", "left_semi")
-            .join(pieces, ["review_id", "base"], "left_anti")
+    service = service.join(reviews, "review_id", "left_semi")
+    names = service.select("review_id", "base").distinct()
+    short = F.least(F.length("base"), F.lit(GRAM))
+    pieces = names.select("review_id", "base", F.explode(F.coalesce(*[
+        F.when(short == n, _grams(F.col("base"), n)) for n in range(1, GRAM + 1)])).alias("gram"))
+    index = tests.select("review_id", "test_path", F.explode(F.flatten(F.array_compact(F.array(*[
+        _grams(F.col("test_path"), n) for n in range(1, GRAM + 1)])))).alias("gram"))
+    # names shorter than a piece are rare: what they do not ask for is left out early
+    asked = pieces.select("review_id", "gram").distinct()
+    index = index.join(asked, ["review_id", "gram"], "left_semi")
+    counts = index.groupBy("review_id", "gram").agg(F.count("*").alias("n"))
+    rarest = (pieces.join(counts, ["review_id", "gram"], "left").na.fill(0, ["n"])
+              .groupBy("review_id", "base").agg(F.min(F.struct("n", "gram")).alias("least"))
+              .where("least.n > 0").select("review_id", "base", "least.gram"))
+    covered = (rarest.join(index, ["review_id", "gram"]).where(F.col("test_path").contains(F.col("base")))
+               .select("review_id", "base").distinct())
+    return (service.where("base <> ''").join(covered, ["review_id", "base"], "left_anti")
             .select("review_id", "file_ord", "path", "base"))
 
 
@@ -218,10 +248,12 @@ def anatomy(reviews: DataFrame, review: DataFrame) -> DataFrame:
 
 
 def all_findings(reviews: DataFrame, files: DataFrame, as_of: str) -> DataFrame:
-    """Every review finding of every analyzer."""
-    facts = file_facts(files)
-    review = review_facts(facts)
-    parts = [file_findings(files), term_drift(review), missing_tests(review),
+    """Every review finding of every analyzer.  Each patch is read once; what it gives is
+    written, and so are the facts of each review, which three analyzers share."""
+    results = cut(file_results(files))
+    facts = results.drop("hits")
+    review = cut(review_facts(facts))
+    parts = [explode_hits(results), term_drift(review), missing_tests(review),
              untested_services(facts), workflow_findings(reviews, review, as_of)]
     out = parts[0]
     for p in parts[1:]:

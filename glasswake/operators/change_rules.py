@@ -143,20 +143,49 @@ def emit_reviews(df: DataFrame, rules: list[Column]) -> DataFrame:
     return rows.select("review_id", "f.*")
 
 
-def _first_of(lines: Column, patterns) -> tuple[Column, Column]:
-    """First matching line of the first pattern that matches at all, and its label."""
-    matches = lambda p: lambda l: l.rlike(p)
-    hits = [(first(lines, matches(p)), label) for p, label in patterns]
-    line = F.coalesce(*[h for h, _ in hits])
-    label = F.coalesce(*[F.when(h.isNotNull(), F.lit(t)) for h, t in hits])
-    return line, label
+def _first_of(lines: Column, patterns) -> Column:
+    """(line, label): first matching line of the first pattern that matches at all."""
+    def hit(pattern: str, label: str) -> Column:
+        found = F.filter(lines, lambda l: l.rlike(pattern))
+        return F.get(F.transform(found, lambda l: F.struct(l.alias("line"), F.lit(label).alias("label"))), 0)
 
+    return F.coalesce(*[hit(p, label) for p, label in patterns])
 
-def _rules() -> dict[str, Column]:
-    added, removed, lines, path = (F.col(c) for c in ("added", "removed", "lines", "file_path"))
+
+def _facts_of_lines() -> dict[str, Column]:
+    """What the rules ask of a file's lines; each is computed once per file."""
+    added, removed, lines = (F.col(c) for c in ("added", "removed", "lines"))
+    matching = lambda p: F.filter(added, lambda l: l.rlike(p))
+    return {
+        "guard": first(removed, lambda l: l.rlike(AUTH_GUARD)),
+        "route": _first_of(added, ROUTES), "secret": _first_of(added, SECRETS),
+        "log": first(added, lambda l: l.rlike(CONSOLE_LOG) & l.rlike(SENSITIVE_WORD)),
+        "bypass": first(added, lambda l: l.rlike(BYPASS)),
+        "artifact": _first_of(added, DEV_ARTIFACTS),
+        "todo": matching(TODO), "work": _first_of(added, [(p, "") for p in WORKAROUNDS]),
+        "run": longest_run(lines), "deep": F.array_max(F.transform(added, nesting)),
+        "imports": F.size(matching(IMPORT)), "awaits": F.size(matching(AWAIT)),
+        "conditions": F.size(matching(CONDITIONAL)), "vague": matching(VAGUE),
+        "flag": first(added, lambda l: l.rlike(BOOLEAN)),
+    }
+
+
+#: What each rule reads of ``_facts_of_lines``.
+READS = {"removed_guard": ("guard",), "route": ("route",), "secret": ("secret",), "console_log": ("log",),
+         "bypass": ("bypass",), "dev_artifact": ("artifact",), "todo": ("todo",), "workaround": ("work",),
+         "complexity": ("run",), "nesting": ("deep",), "mixed": ("imports", "awaits"), "conditionals": ("conditions",),
+         "abbrev": ("vague",), "boolean": ("flag",)}
+
+
+def _rules(names: tuple[str, ...]) -> list[Column]:
+    """The named rules over files with a column ``seen`` (see ``with_hits``)."""
+    added, lines, path = (F.col(c) for c in ("added", "lines", "file_path"))
+    read = {field for name in names for field in READS[name]}
+    seen = {f: F.col("seen")[f] if f in read else F.lit(None) for fields in READS.values() for f in fields}
+    line = lambda f: seen[f]["line"] if f in read else F.lit(None).cast("string")
+    label = lambda f: seen[f]["label"] if f in read else F.lit(None).cast("string")
     prod = ~is_test(path)
     any_added = F.size(added) > 0
-    matching = lambda p: F.filter(added, lambda l: l.rlike(p))
     two = lambda found: F.array_join(F.transform(
         F.slice(found, F.lit(1), F.lit(2)), lambda l: F.regexp_replace(l, r"^\+", "")), "\n")
 
@@ -169,70 +198,66 @@ def _rules() -> dict[str, Column]:
     count = lambda text, n: F.concat(n.cast("string"), F.lit(" " + text + ": "), path)
 
     out: dict[str, Column] = {}
-    guard = first(removed, lambda l: l.rlike(AUTH_GUARD))
+    guard = seen["guard"]
     out["removed_guard"] = rule(
         "exposure", 1, "exposure/removed-auth-guard", "exposure", "high", guard.isNotNull() & prod,
         say("Access check removed"), unsigned(guard, "-"), 5)
-    route, label = _first_of(added, ROUTES)
     out["route"] = rule(
-        "exposure", 2, "exposure/sensitive-route", "exposure", "high", route.isNotNull() & prod,
-        F.concat(F.lit("New "), label, F.lit(" route: "), path), unsigned(route), 5)
-    secret, label = _first_of(added, SECRETS)
-    masked = F.regexp_replace(F.regexp_replace(secret, r"^\+", ""), SECRET_MASK, "$1***$2")
+        "exposure", 2, "exposure/sensitive-route", "exposure", "high", line("route").isNotNull() & prod,
+        F.concat(F.lit("New "), label("route"), F.lit(" route: "), path), unsigned(line("route")), 5)
+    masked = F.regexp_replace(F.regexp_replace(line("secret"), r"^\+", ""), SECRET_MASK, "$1***$2")
     out["secret"] = rule(
-        "exposure", 3, "exposure/hardcoded-secret", "security", "high", secret.isNotNull(),
-        F.concat(label, F.lit(" in code: "), path), unsigned(F.concat(F.lit("+"), masked)), 5)
-    log = first(added, lambda l: l.rlike(CONSOLE_LOG) & l.rlike(SENSITIVE_WORD))
+        "exposure", 3, "exposure/hardcoded-secret", "security", "high", line("secret").isNotNull(),
+        F.concat(label("secret"), F.lit(" in code: "), path), unsigned(F.concat(F.lit("+"), masked)), 5)
+    log = seen["log"]
     out["console_log"] = rule(
         "exposure", 4, "exposure/sensitive-console-log", "exposure", "medium",
         log.isNotNull() & prod, say("Sensitive value logged"), unsigned(log), 3)
-    bypass = first(added, lambda l: l.rlike(BYPASS))
+    bypass = seen["bypass"]
     out["bypass"] = rule(
         "exposure", 5, "exposure/auth-bypass", "exposure", "high", bypass.isNotNull() & prod,
         say("Login can be skipped"), unsigned(bypass), 5)
-    artifact, label = _first_of(added, DEV_ARTIFACTS)
     out["dev_artifact"] = rule(
-        "exposure", 6, "exposure/dev-artifact", "exposure", "medium", artifact.isNotNull() & prod,
-        F.concat(label, F.lit(": "), path), unsigned(artifact), 2)
+        "exposure", 6, "exposure/dev-artifact", "exposure", "medium", line("artifact").isNotNull() & prod,
+        F.concat(label("artifact"), F.lit(": "), path), unsigned(line("artifact")), 2)
 
-    todo = matching(TODO)
+    todo = seen["todo"]
     out["todo"] = rule(
         "maintainability", 1, "maint/todo-shortcut", "maintainability", "low", F.size(todo) > 0,
         count("open work markers", F.size(todo)), unsigned(F.concat(F.lit("+"), two(todo))), 1)
-    work, _ = _first_of(added, [(p, "") for p in WORKAROUNDS])
     out["workaround"] = rule(
         "maintainability", 2, "maint/hardcoded-workaround", "maintainability", "low",
-        work.isNotNull(), say("Stopgap"), unsigned(work), 1)
-    run = longest_run(lines)
+        line("work").isNotNull(), say("Stopgap"), unsigned(line("work")), 1)
+    run = seen["run"]
     out["complexity"] = rule(
         "maintainability", 3, "maint/complexity-spike", "maintainability",
         F.when(run > RUN_HIGH, "high").otherwise("medium"), any_added & (run > RUN_MEDIUM),
         count("added lines in a row", run), None, F.when(run > RUN_HIGH, 3).otherwise(2))
-    deep = F.array_max(F.transform(added, nesting))
+    deep = seen["deep"]
     out["nesting"] = rule(
         "maintainability", 4, "maint/deep-nesting", "maintainability", "medium", deep >= NESTING,
         count("levels on one line", deep), None, 2)
-    imports, awaits = F.size(matching(IMPORT)), F.size(matching(AWAIT))
+    imports, awaits = seen["imports"], seen["awaits"]
     out["mixed"] = rule(
         "maintainability", 5, "maint/mixed-responsibilities", "maintainability", "medium",
         (imports >= IMPORTS) & (awaits >= AWAITS),
         F.concat(imports.cast("string"), F.lit(" imports, "), count("async calls", awaits)), None, 2)
-    conditions = F.size(matching(CONDITIONAL))
+    conditions = seen["conditions"]
     out["conditionals"] = rule(
         "maintainability", 6, "maint/long-conditional-chain", "maintainability", "low",
         conditions >= CONDITIONALS, count("chained conditions", conditions),
         first_with_context(lines, CONDITIONAL_SNIPPET), 1)
 
-    vague = matching(VAGUE)
+    vague = seen["vague"]
     out["abbrev"] = rule(
         "naming", 11, "naming/vague-abbreviations", "naming", "low",
         F.size(vague) >= ABBREVIATIONS, count("lines with vague names", F.size(vague)),
         unsigned(F.concat(F.lit("+"), two(vague))), 0)
-    flag = first(added, lambda l: l.rlike(BOOLEAN))
+    flag = seen["flag"]
     out["boolean"] = rule(
         "naming", 12, "naming/boolean-naming", "naming", "low", flag.isNotNull(),
         say("Flag without a prefix"), unsigned(flag), 0)
-    return out
+    return [out[name] for name in names]
 
 
 FILE_RULES = ("todo", "workaround", "complexity", "nesting", "mixed", "conditionals", "abbrev",
@@ -240,10 +265,21 @@ FILE_RULES = ("todo", "workaround", "complexity", "nesting", "mixed", "condition
               "dev_artifact")
 
 
+def with_hits(files: DataFrame, only: tuple[str, ...] = FILE_RULES) -> DataFrame:
+    """Adds ``hits``, the findings of the rules, to files with the arrays of ``split_patch``."""
+    asked = {field for name in only for field in READS[name]}
+    df = bind(files.withColumn("file_path", F.col("path")), "seen", F.struct(*[
+        value.alias(name) for name, value in _facts_of_lines().items() if name in asked]))
+    return df.withColumn("hits", F.array_compact(F.array(*_rules(only)))).drop("seen", "file_path")
+
+
 def file_findings(files: DataFrame, only: tuple[str, ...] = FILE_RULES) -> DataFrame:
-    df = with_lines(files.select("review_id", "file_ord", F.col("path").alias("file_path"), "patch"))
-    rules = _rules()
-    return emit_reviews(df, [rules[name] for name in only])
+    df = with_hits(with_lines(files.select("review_id", "file_ord", "path", "patch")), only)
+    return explode_hits(df)
+
+
+def explode_hits(df: DataFrame) -> DataFrame:
+    return df.select("review_id", F.explode("hits").alias("f")).select("review_id", "f.*")
 
 
 def logic_line_count(added: Column) -> Column:
