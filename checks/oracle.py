@@ -566,6 +566,11 @@ O["o_report"] = f"""SELECT scan_id, 'target' AS section, CAST(NULL AS BIGINT) AS
  UNION ALL SELECT i.scan_id, 'script_domain', -script_count, i.origin, NULL, i.origin, NULL, {_S('script_count')}, s.status FROM o_inventory i JOIN fx_scans s ON i.scan_id = s.scan_id
  UNION ALL SELECT o.scan_id, 'scenario', row_number() OVER (PARTITION BY o.scan_id ORDER BY score DESC, scenario_type), NULL, NULL, scenario_type, impact, {_S('row_number() OVER (PARTITION BY o.scan_id ORDER BY score DESC, scenario_type)')}, s.status FROM o_scored o JOIN fx_scans s ON o.scan_id = s.scan_id"""
 S["ingestion_report"] = "SELECT * EXCLUDE (status) FROM o_report WHERE status = 'completed'"
+S["scan_documents"] = """SELECT s.scan_id, t.section, coalesce(n, 0) AS elements, greatest(coalesce(n, 0) - 1, 0) AS commas, CAST(2 AS BIGINT) AS brackets
+ FROM (SELECT scan_id FROM fx_scans WHERE status = 'completed') s CROSS JOIN (VALUES ('finding'), ('page'), ('request'), ('script_domain')) t(section)
+ LEFT JOIN (SELECT scan_id, section, count(*) AS n FROM o_report WHERE status = 'completed' GROUP BY 1, 2) r ON s.scan_id = r.scan_id AND t.section = r.section"""
+S["review_store"] = """SELECT review_id, file_ord, rule_id, severity, snippet FROM o_rule_todo
+ UNION ALL SELECT review_id, file_ord, rule_id, severity, snippet FROM o_rule_console_log WHERE review_id NOT IN (SELECT review_id FROM fx_reviews WHERE checks_status = 'fail')"""
 S["scan_export"] = f"""SELECT scan_id, section, k0, k1, k2, id, CASE WHEN section = 'finding' THEN furl ELSE fact END AS fact, CAST(NULL AS STRING) AS number FROM (SELECT o.* REPLACE (p.url AS fact), CAST(NULL AS STRING) AS furl FROM o_report o JOIN fx_pages p ON o.k0 = p.page_id WHERE section = 'page'
  UNION ALL SELECT f.scan_id, 'finding', {_RANK}, category, page_id, concat_ws(':', {_S('f.scan_id')}, coalesce({_S('page_id')}, '-'), {_S('det_ord')}, {_S('item_ord')}, {_S('rule_ord')}, {_S('pos')}, CASE WHEN det_ord > 16 THEN md5(coalesce(asset_url, '')) END), NULL, NULL, NULL, url FROM o_findings f)
  UNION ALL SELECT scan_id, 'scan', NULL, NULL, NULL, {_S('scan_id')}, target_url, NULL FROM fx_scans"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -13,9 +14,10 @@ from glasswake.operators import (
     addresses, change_review as cr, change_rules as rules, clientstate, content,
     findings as fi, frontier, probes, responses, scenarios as sc, scripts,
 )
-from glasswake.plans import change_review as review_plan, reports, site_scan as scan_plan
-from glasswake.plans.lineage import cut
+from glasswake.plans import change_review as review_plan, documents, reports, site_scan as scan_plan
+from glasswake.plans.lineage import checkpoint_dir, cut
 from glasswake.sources import captures
+from glasswake.sources.review_store import ReviewStore
 
 SHOW = [*fi.KEYS, *fi.ORDER, "severity", "category", "title", "url", "asset_url", "evidence",
         "confidence"]
@@ -197,6 +199,29 @@ def _(v):
         F.coalesce(get("$.evidence.snippet"), get("$.focusFiles[0].path")).alias("text"))
 
 
+@query("scan_documents")
+def _(v):
+    """Pieces of the nested documents: what stands where, and which pieces start with a comma."""
+    pieces = documents.scan_documents(reports.ingestion_report(
+        v.scans, v.findings, captures.stored_pages(v.pages), v.requests, v.inventory, v.scan_counts))
+    listed = F.col("section").isin("finding", "page", "request", "script_domain")
+    return pieces.where(listed).groupBy("scan_id", "section").agg(
+        F.count_if(F.col("edge") == documents.ELEMENT).alias("elements"),
+        F.count_if((F.col("edge") == documents.ELEMENT) & F.col("text").startswith(",")).alias("commas"),
+        F.count_if(F.col("edge") != documents.ELEMENT).alias("brackets"))
+
+
+@query("review_store")
+def _(v):
+    """All changes reviewed by two rules, those with failing checks again by one of them."""
+    store = ReviewStore(v.spark, f"{checkpoint_dir(v.spark)}/review-store-{uuid.uuid4().hex}", buckets=16)
+    store.commit(rules.file_findings(v.review_files, ("todo", "console_log")), v.reviews, "first")
+    again = v.reviews.where("checks_status = 'fail'")
+    store.commit(rules.file_findings(v.review_files, ("todo",)), again, "second")
+    store.compact(batches=2)
+    return store.read().select("review_id", "file_ord", "rule_id", "severity", "snippet")
+
+
 # ---- addresses and markup ---------------------------------------------------
 
 @query("url_normalize")

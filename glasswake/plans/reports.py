@@ -41,7 +41,7 @@ def _line(key: str, section: str, keys: list[Column], body: Column, position: in
     keys = (keys + [null] * 5)[:5]
     return [F.col(key), F.lit(position).alias("section_ord"), F.lit(section).alias("section"),
             *[k.cast("string" if i == 1 else "bigint").alias(f"k{i}") for i, k in enumerate(keys)],
-            F.to_json(body).alias("body")]
+            F.to_json(body, {"ignoreNullFields": "false"}).alias("body")]
 
 
 def _given(df: DataFrame, column: str) -> Column:

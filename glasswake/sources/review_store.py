@@ -2,12 +2,12 @@
 
 A batch of reviews writes its own rows and nothing else:
 
-    delta/seq=N        findings of batch N, sorted by (bucket, review_id)
-    reviewed/seq=N     the ids that batch N reviewed; they replace all their older findings
-    base/seq=N         findings carried over by a compaction
-    manifest/seq=N     one entry, written last: what batch N or compaction N holds
+    delta/<token>      findings of a batch, sorted by (bucket, review_id)
+    reviewed/<token>   the ids that the batch reviewed; they replace all their older findings
+    base/<token>       findings carried over by a compaction
+    manifest/seq=N     one entry, written last: the batch or compaction N and its token
 
-Entry N is created by a write that fails if it is there already, so a batch is visible as a
+Every attempt writes below a token of its own. Entry N is created by a write that fails if it is there already, so a batch is visible as a
 whole or not at all, a batch that is run again changes nothing, and of two writers that meet
 one takes the next number. The manifest also keeps the number of buckets; it may change
 at any time, and takes effect with a compaction of the whole store.
@@ -15,6 +15,7 @@ at any time, and takes effect with a compaction of the whole store.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -22,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BUCKETS = 64
-ENTRY = "seq long, kind string, batch string, buckets int, only array<int>, upto long, row_count long"
+ENTRY = "seq long, kind string, batch string, buckets int, only array<int>, upto long, row_count long, token string"
 
 
 @dataclass(frozen=True)
@@ -37,6 +38,7 @@ class Entry:
     only: tuple[int, ...] | None
     upto: int
     row_count: int
+    token: str
 
 
 class ReviewStore:
@@ -45,8 +47,8 @@ class ReviewStore:
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path, self.first_buckets = spark, path.rstrip("/"), buckets
 
-    def _at(self, kind: str, seq: int) -> str:
-        return f"{self.path}/{kind}/seq={seq}"
+    def _at(self, kind: str, token: str) -> str:
+        return f"{self.path}/{kind}/{token}"
 
     def entries(self) -> list[Entry]:
         """The manifest in order: a row per batch and compaction, not per review."""
@@ -57,14 +59,14 @@ class ReviewStore:
                 raise
             return []
         return sorted((Entry(r.seq, r.kind, r.batch, r.buckets, tuple(r.only) if r.only is not None else None,
-                             r.upto, r.row_count) for r in rows), key=lambda e: e.seq)
+                             r.upto, r.row_count, r.token) for r in rows), key=lambda e: e.seq)
 
     def _enter(self, entry: Entry) -> bool:
         row = (entry.seq, entry.kind, entry.batch, entry.buckets,
-               list(entry.only) if entry.only is not None else None, entry.upto, entry.row_count)
+               list(entry.only) if entry.only is not None else None, entry.upto, entry.row_count, entry.token)
         try:
             (self.spark.createDataFrame([row], ENTRY).coalesce(1)
-             .write.mode("errorifexists").json(self._at("manifest", entry.seq)))
+             .write.mode("errorifexists").json(f"{self.path}/manifest/seq={entry.seq}"))
         except AnalysisException as e:
             if e.getCondition() != "PATH_ALREADY_EXISTS":
                 raise
@@ -84,20 +86,21 @@ class ReviewStore:
             seq = known[-1].seq + 1 if known else 0
             buckets = known[-1].buckets if known else self.first_buckets
             ids = reviews.select("review_id").where("review_id IS NOT NULL").distinct()
-            ids.withColumn("bucket", self._bucket(buckets)).write.mode("overwrite").parquet(self._at("reviewed", seq))
-            self._write(findings.join(self.spark.read.parquet(self._at("reviewed", seq)).select("review_id"),
-                                      "review_id", "left_semi"), "delta", seq, buckets)
-            rows = self.spark.read.parquet(self._at("delta", seq)).count()
-            if self._enter(Entry(seq, "delta", batch, buckets, None, seq, rows)):
+            token = uuid.uuid4().hex
+            ids.withColumn("bucket", self._bucket(buckets)).write.parquet(self._at("reviewed", token))
+            self._write(findings.join(self.spark.read.parquet(self._at("reviewed", token)).select("review_id"),
+                                      "review_id", "left_semi"), "delta", token, buckets)
+            rows = self.spark.read.parquet(self._at("delta", token)).count()
+            if self._enter(Entry(seq, "delta", batch, buckets, None, seq, rows, token)):
                 return seq
 
-    def _write(self, rows: DataFrame, kind: str, seq: int, buckets: int) -> None:
+    def _write(self, rows: DataFrame, kind: str, token: str, buckets: int) -> None:
         """Sorted by bucket and id, so that files can be skipped by either; a review with very
         many findings is cut by the rest of the row."""
         rest = [c for c in ("analyzer_ord", "file_ord", "rule_ord") if c in rows.columns]
         rows = rows.withColumn("bucket", self._bucket(buckets))
         (rows.repartitionByRange("bucket", "review_id", *rest).sortWithinPartitions("bucket", "review_id", *rest)
-         .write.mode("overwrite").parquet(self._at(kind, seq)))
+         .write.parquet(self._at(kind, token)))
 
     def _live(self) -> tuple[Entry | None, list[Entry], list[Entry]]:
         """Latest compaction of the whole store, later ones of some buckets, and the batches that
@@ -115,7 +118,7 @@ class ReviewStore:
         return self._merge(whole, parts, deltas)
 
     def _rows(self, kind: str, entry: Entry) -> DataFrame:
-        return self.spark.read.parquet(self._at(kind, entry.seq)).withColumn("seq", F.lit(entry.seq).cast("long"))
+        return self.spark.read.parquet(self._at(kind, entry.token)).withColumn("seq", F.lit(entry.seq).cast("long"))
 
     def _merge(self, whole: Entry | None, parts: list[Entry], deltas: list[Entry],
                only: list[int] | None = None) -> DataFrame | None:
@@ -171,8 +174,9 @@ class ReviewStore:
             return None
         seq = known[-1].seq + 1
         buckets = buckets or known[-1].buckets
-        self._write(rows, "base", seq, buckets)
-        n = self.spark.read.parquet(self._at("base", seq)).count()
-        entry = Entry(seq, "base", None, buckets, tuple(only) if only is not None else None, known[-1].seq, n)
+        token = uuid.uuid4().hex
+        self._write(rows, "base", token, buckets)
+        n = self.spark.read.parquet(self._at("base", token)).count()
+        entry = Entry(seq, "base", None, buckets, tuple(only) if only is not None else None, known[-1].seq, n, token)
         # a batch that came meanwhile took the number: what it left is compacted anew
         return seq if self._enter(entry) else self._compact(only, buckets)

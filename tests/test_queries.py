@@ -15,7 +15,7 @@ NAMES = [
     "suspicious_endpoints", "missing_sri", "probe_json", "bundle_scan", "crawl_frontier", "site_scan",
     "severity_counts", "sc_ranked", "sc_evidence", "script_inventory", "ingestion_report",
     "rv_secret", "rv_complexity", "rv_term_drift", "rv_untested_service", "rv_score",
-    "rv_focus_files", "review_report", "patch_line_numbers", "naming_plural", "checks_rollup",
+    "rv_focus_files", "review_report", "scan_documents", "review_store", "patch_line_numbers", "naming_plural", "checks_rollup",
 ]
 
 
