@@ -42,14 +42,15 @@ class Encoder:
 
     A byte-level tokenizer never merges across a blank, so a text is the concatenation
     of its blank-led words. Each different word is encoded once by the library and kept
-    in a bounded cache; other kinds of tokenizers get whole texts.
+    in a bounded cache; other kinds of tokenizers get whole texts, and so do texts in which
+    the string of an added token occurs (the library makes it one id by default).
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         size = self.lib.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 65536 else "<u4")
         self.width = np.array([len(self.lib.id_to_token(i) or "") for i in range(size)])
@@ -81,17 +82,18 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.by_word:
+        if not self.by_word or any(t in text for t in self.special):
             return self._raw(text).tobytes()
         units = self.find(text)
-        known = self.known
-        new = {u for u in units if u not in known}
-        if new:
-            if len(known) + len(new) > CACHE_UNITS:
-                self.known = known = dict(islice(known.items(), CORE_UNITS))
-                new = {u for u in units if u not in known}
+        got = list(map(self.known.get, units))
+        if None in got:
+            new = {u for u, ids in zip(units, got) if ids is None}
+            if len(self.known) + len(new) > CACHE_UNITS:
+                self.known = dict(islice(self.known.items(), CORE_UNITS))
+                new = {u for u in units if u not in self.known}
             self._learn(list(new))
-        return b"".join([known[u] for u in units])
+            got = map(self.known.get, units)
+        return b"".join(got)
 
 
 _ENCODERS: dict[str, Encoder] = {}

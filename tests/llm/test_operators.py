@@ -42,7 +42,6 @@ def docs():
 @pytest.fixture(scope="module")
 def ids(docs):
     lib = Tokenizer.from_file(queries.vocabulary())
-    lib.encode_special_tokens = True
     return {d: np.array(lib.encode(t or "", add_special_tokens=False).ids + [0], "<u4") for d, t, _ in docs}
 
 
@@ -52,9 +51,8 @@ def table(spark, name="documents"):
 
 def test_encoder_equals_the_library():
     lib = Tokenizer.from_file(queries.vocabulary())
-    lib.encode_special_tokens = True
     enc = tokens.Encoder(queries.vocabulary())
-    for text in ("", " ", "\n\n a  b\t c \n", "it's we'll x's", "a b  c", "\x1c\x1d a\x85b", "<|endoftext|> 漢字😀 é", "   "):
+    for text in ("", " ", "\n\n a  b\t c \n", "it's we'll x's", "a b  c", "\x1c\x1d a\x85b", "<|endoftext|> 漢字😀 é", "a <|endoftext|> b", "   "):
         assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == lib.encode(text, add_special_tokens=False).ids
 
 
