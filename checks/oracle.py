@@ -566,6 +566,9 @@ O["o_report"] = f"""SELECT scan_id, 'target' AS section, CAST(NULL AS BIGINT) AS
  UNION ALL SELECT i.scan_id, 'script_domain', -script_count, i.origin, NULL, i.origin, NULL, {_S('script_count')}, s.status FROM o_inventory i JOIN fx_scans s ON i.scan_id = s.scan_id
  UNION ALL SELECT o.scan_id, 'scenario', row_number() OVER (PARTITION BY o.scan_id ORDER BY score DESC, scenario_type), NULL, NULL, scenario_type, impact, {_S('row_number() OVER (PARTITION BY o.scan_id ORDER BY score DESC, scenario_type)')}, s.status FROM o_scored o JOIN fx_scans s ON o.scan_id = s.scan_id"""
 S["ingestion_report"] = "SELECT * EXCLUDE (status) FROM o_report WHERE status = 'completed'"
+S["pr_quarantine"] = """SELECT review_id, reason, CASE WHEN reason = 'sound' THEN json_extract_string(p, '$.user.login') END AS author FROM (
+ SELECT *, CASE WHEN trim(p) = '' THEN 'empty' WHEN json_valid(p) THEN CASE WHEN json_type(p) = 'OBJECT' THEN 'sound' ELSE 'malformed' END ELSE 'malformed' END AS reason FROM (
+ SELECT review_id, CASE WHEN review_id % 7 = 0 THEN left(payload, length(payload) - 9) WHEN review_id % 11 = 0 THEN ' ' WHEN review_id % 13 = 0 THEN concat('[', payload, ']') ELSE payload END AS p FROM fx_pr_payloads))"""
 S["scan_documents"] = """SELECT s.scan_id, t.section, coalesce(n, 0) AS elements, greatest(coalesce(n, 0) - 1, 0) AS commas, CAST(2 AS BIGINT) AS brackets
  FROM (SELECT scan_id FROM fx_scans WHERE status = 'completed') s CROSS JOIN (VALUES ('finding'), ('page'), ('request'), ('script_domain')) t(section)
  LEFT JOIN (SELECT scan_id, section, count(*) AS n FROM o_report WHERE status = 'completed' GROUP BY 1, 2) r ON s.scan_id = r.scan_id AND t.section = r.section"""

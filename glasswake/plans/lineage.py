@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; without one a cluster is refused, and a
     session on one machine gets a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
+    if not named and not re.match(r"local($|\[)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named or tempfile.mkdtemp(prefix="checkpoints-")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from glasswake.functions.bind import bind
 from glasswake.functions.html import title
 from glasswake.operators.findings import DEFAULT_OPTIONS
 
@@ -62,10 +63,43 @@ def requests(raw: DataFrame) -> DataFrame:
         "response_headers_json", "map<string,string>"))
 
 
+RAW_PULL_REQUESTS = "review_id bigint, pr_url string, payload string"
+
+
 def read_pull_requests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Folders of saved API answers, one JSON object per line with review_id and payload."""
-    raw = spark.read.schema("review_id bigint, pr_url string, payload string").json(path)
-    return normalize_pull_requests(raw)
+    """(reviews, files) from folders of saved API answers, one JSON object per line with
+    review_id and payload. Answers that cannot be read are left to ``quarantine``."""
+    return normalize_pull_requests(quarantine(read_raw_pull_requests(spark, path))[0])
+
+
+def read_raw_pull_requests(spark: SparkSession, path: str) -> DataFrame:
+    """The saved answers as they are; ``broken`` has the text of lines that are no such object."""
+    return (spark.read.schema(RAW_PULL_REQUESTS + ", broken string")
+            .option("columnNameOfCorruptRecord", "broken").json(path))
+
+
+def quarantine(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sound, rejected): rows of review_id, pr_url, payload whose payload can be read, and the
+    others with a ``reason``. No row is in both or in neither.
+
+    Reasons: ``line`` (the saved line is broken), ``review`` (no review_id), ``empty`` (no
+    payload), ``malformed`` (no JSON object, or a field of another type than the API's).
+    """
+    schema = T.StructType([*PR_SCHEMA.fields, T.StructField("broken_", T.StringType())])
+    parsed = F.from_json("payload", schema, {"columnNameOfCorruptRecord": "broken_"})
+    line = F.col("broken").isNotNull() if "broken" in raw.columns else F.lit(False)
+    checked = bind(raw, "reason", F.when(line, "line").when(F.col("review_id").isNull(), "review")
+                   .when(F.trim(F.coalesce("payload", F.lit(""))) == "", "empty")
+                   .when(~F.ltrim("payload").startswith("{") | parsed["broken_"].isNotNull(), "malformed"))
+    keep = ["review_id", "pr_url", "payload"]
+    kept = [*keep, "broken"] if "broken" in raw.columns else keep
+    return checked.where("reason IS NULL").select(*keep), checked.where("reason IS NOT NULL").select(*kept, "reason")
+
+
+def write_rejected(rejected: DataFrame, path: str, run_id: str) -> None:
+    """Rejected rows by run and reason; a retried run replaces its own."""
+    (rejected.withColumn("run_id", F.lit(run_id)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "reason").parquet(path))
 
 
 def normalize_pull_requests(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
