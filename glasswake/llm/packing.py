@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from glasswake.llm.common import ROWS_PER_BUCKET, cut, prefix_sum
-from glasswake.llm.tokens import encoder, ids_crc32
+from glasswake.llm.tokens import encoded, encoder, ids_crc32
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -79,8 +79,8 @@ def pieces_of(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
         end = np.zeros(1, enc.dtype).tobytes()
         for batch in batches:
             rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.frombuffer(enc.encode(text) + end, enc.dtype)
+            for key, raw in encoded(enc, batch):
+                ids = np.frombuffer(raw + end, enc.dtype)
                 at, size = 0, (len(ids) - 1) % capacity + 1
                 for k in range(-(-len(ids) // capacity)):
                     rows.append((key, k, at, size, ids_crc32(ids[at:at + size])))

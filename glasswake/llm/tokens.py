@@ -30,6 +30,7 @@ from glasswake.llm.common import buckets_for, cut, new_folder
 
 SHARD_CHARS = 16_000_000
 CACHE_UNITS = 450_000
+UNITS_A_CALL, DOCS_A_CALL = 200, 64
 CORE_UNITS = 200_000         # the words met first stay in the cache: they are the frequent ones
 HEADER = "<HqI"
 HEADER_SIZE = struct.calcsize(HEADER)
@@ -66,8 +67,8 @@ class Encoder:
     def _learn(self, units: list[str]) -> None:
         led = [u for u in units if u[0] == " "]
         size = self.dtype.itemsize
-        for i in range(0, len(led), 200):
-            part = led[i:i + 200]
+        for i in range(0, len(led), UNITS_A_CALL):
+            part = led[i:i + UNITS_A_CALL]
             ids = self._raw("".join(part))
             ends = np.cumsum([len(u.encode()) for u in part])
             stops = (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1) * size
@@ -80,20 +81,36 @@ class Encoder:
                 self.known[u] = self._raw(u).tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.by_word or any(t in text for t in self.special):
-            return self._raw(text).tobytes()
-        units = self.find(text)
-        got = list(map(self.known.get, units))
-        if None in got:
-            new = {u for u, ids in zip(units, got) if ids is None}
-            if len(self.known) + len(new) > CACHE_UNITS:
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """The words that are new in any of the texts are learned together."""
+        out: list[bytes] = [b""] * len(texts)
+        units: dict[int, list[str]] = {}
+        for i, text in enumerate(texts):
+            if text and (not self.by_word or any(t in text for t in self.special)):
+                out[i] = self._raw(text).tobytes()
+            elif text:
+                units[i] = self.find(text)
+        got = {i: list(map(self.known.get, own)) for i, own in units.items()}
+        late = [i for i, ids in got.items() if None in ids]
+        new = {u for i in late for u, ids in zip(units[i], got[i]) if ids is None}
+        if new:
+            if len(self.known) + len(new) > CACHE_UNITS:        # what is in ``got`` stays valid
                 self.known = dict(islice(self.known.items(), CORE_UNITS))
-                new = {u for u in units if u not in self.known}
             self._learn(list(new))
-            got = map(self.known.get, units)
-        return b"".join(got)
+            for i in late:
+                got[i] = [self.known[u] if ids is None else ids for u, ids in zip(units[i], got[i])]
+        for i, ids in got.items():
+            out[i] = b"".join(ids)
+        return out
+
+
+def encoded(enc: Encoder, batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
+    """(key, ids) of the rows of a batch of keys and texts."""
+    for i in range(0, batch.num_rows, DOCS_A_CALL):
+        part = batch.slice(i, DOCS_A_CALL)
+        yield from zip(part.column(0).to_pylist(), enc.encode_many(part.column(1).to_pylist()))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -126,8 +143,7 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str) -> None:
         size = enc.dtype.itemsize
         for batch in batches:
             out = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = enc.encode(text)
+            for key, ids in encoded(enc, batch):
                 out.append(struct.pack(HEADER, key is not None, key or 0, len(ids) // size + 1) + ids)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
