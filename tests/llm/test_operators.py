@@ -310,6 +310,49 @@ def test_repeated_runs_of_a_host(spark):
     assert got[6] == ["Inline text\nNext"]
 
 
+def test_names_that_only_hint_are_judged_by_the_host(spark):
+    strip = "<div class='social-strip'>Tell every friend of yours about this fine paper</div>"
+    own = lambda s: (f"<article><h2 id='related-work'>Related {s} work</h2><section id='share-prices'><p>Shares of {s} fell and {s} "
+                     f"lost two points</p></section><p class='social-science'>Science {s}</p>{strip}"
+                     f"<div class='related-posts'>More {s}</div><p>Same closing words on every page of this paper</p></article>")
+    text = lambda s: (f"Related {s} work\nShares of {s} fell and {s} lost two points\nScience {s}\n"
+                      "{}Same closing words on every page of this paper")
+    rows = [(1, "http://a.org/1", own("one")), (2, "http://a.org/2", own("two")), (3, "http://b.org/3", own("three")),
+            (4, "http://c.org/4", "<nav><ul><li>Home<article><p>Never closed, yet told</p></article>"),
+            (5, "http://c.org/5", "<section class='comments'><article>A reader's word</article></section><p>Open text</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.main_text(df).collect()}
+    assert got[1] == text("one").format("") and got[2] == text("two").format("")
+    assert got[3] == text("three").format("Tell every friend of yours about this fine paper\n")    # nothing of its host repeats it
+    assert got[4] == "Never closed, yet told" and got[5] == "Open text"
+
+
+def test_repeats_are_those_of_a_suffix_array(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(60):
+        words = rng.choice(list("abcdefgh"), 40)
+        at = k % 3
+        rows.append((k, f"http://h{at}.org/{k}", "<body><div>" + " ".join(words[:30]) + f"</div><div>w{k} "
+                     + "the menu that host number " * (k % 2) + f"{at} has</div>"))
+    got = {r.page_id: r.n_repeated for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for host in range(3):
+        streams = {k: re.sub("<[^>]+>", " ", h).split() for k, u, h in rows if u.startswith(f"http://h{host}.")}
+        array = sorted((tuple(s[i:]), k, i) for k, s in streams.items() for i in range(len(s)))
+        covered = {k: np.zeros(len(s), bool) for k, s in streams.items()}
+        for step in (1, -1):                    # the longest prefix shared with the nearest suffix of another page
+            line, runs = array[::step], []
+            for suffix, k, i in line:
+                runs = [(r, j) for r, j in runs if j != k]
+                runs = [(next((x for x, (p, q) in enumerate(zip(r, suffix)) if p != q), min(len(r), len(suffix))), r, j) for r, j in runs]
+                longest = max((x for x, _, _ in runs), default=0)
+                if longest >= pages.LONG:
+                    covered[k][i:i + longest] = True
+                runs = [(r, j) for _, r, j in runs][-len(streams):] + [(suffix, k)]
+        for k in streams:
+            assert got[k] == covered[k].sum()
+
+
 def test_language_model(spark, docs):
     got = {r.doc_id: r for r in queries.op9_bloom_lm(spark, DATA).collect()}
     counts, known = collections.Counter(), {}
