@@ -5,15 +5,15 @@ hash segment, its different words and word pairs with their counts as packed arr
 segment adds them up. Exact word counts go back to the blocks that asked for them.
 
 Filter: a pair or word that occurs c times is entered under levels 1 to q, q growing with the
-logarithm of c; a reader probes level after level until one is missing. Each n-gram has all
-its bits in one slice of 2**17 bits, so slices are built apart, and the filter is the row of
-slices. It is broadcast, so its size is bounded by ``FILTER_BITS``: pairs that occur once are
-left to the smoothing, and if the others need more bits than that, the rarest counts are
-left out first, by the counts of the whole corpus. Word counts in the filter and in the
-base score cover every word.
-
-p(w | v) = 1/2 * c(vw) / c(v) + 1/2 * (c(w) + 1) / (N + V + 1), counts as the filter has
-them; without c(v) the second part alone.
+logarithm of c; a reader probes level after level until one is missing. Every word and every pair of
+the training texts is in it. Each n-gram has all its bits in one slice of 2**17 bits, so slices are
+built apart, and the filter is the row of slices. Up to ``FILTER_BITS`` it is broadcast; a larger one
+stays in shards of slices, and blocks send their questions there. Both give the same levels.
+
+p(w | v) = (c(vw) + D(v) p(w)) / (T(v) + D(v)), p(w) = (c(w) + 1) / (S + V + 1), counts c as the
+filter has them: T(v) sums c(vw) over the D(v) different words behind v, S sums c(w) over the V words.
+Over all words and one unknown word these probabilities make 1, but for the filter's false hits.
+T and D are kept exactly, as numbers that blocks get back with the counts of their words.
 """
 
 from __future__ import annotations
@@ -29,10 +29,10 @@ from glasswake.llm.common import buckets_for, cut, fold
 
 BLOCK_CHARS = 16_000_000
 SEGMENT_WORDS = 1_000_000
-FILTER_BITS = 1 << 28
+FILTER_BITS = 1 << 29       # of a broadcast filter
+SHARD_SLICES = 128          # of one that is not
 SLICE_BITS = 1 << 17
 BITS_PER_ENTRY, PROBES = 12, 6
-LEAST_PAIRS = 2
 KNOWN_WORDS = 400_000
 CHUNK_WORDS = 400_000       # words looked up at once
 END = 0x9AE16A3B2F90404F    # the end token's number
@@ -94,10 +94,10 @@ def _places(numbers: np.ndarray, lv: np.ndarray, slices: int) -> tuple[np.ndarra
 
 
 class Filter:
-    """Reads levels back from the bits (one byte array over all slices)."""
+    """Reads levels back from the bits (one byte array over all slices, or those from ``first`` on)."""
 
-    def __init__(self, bits: np.ndarray, slices: int):
-        self.bits, self.slices = bits, slices
+    def __init__(self, bits: np.ndarray, slices: int, first: int = 0):
+        self.bits, self.slices, self.first = bits, slices, first
 
     def levels(self, numbers: np.ndarray) -> np.ndarray:
         out = np.zeros(len(numbers), np.int64)
@@ -107,7 +107,7 @@ class Filter:
         for lv in range(1, 65):
             own = numbers[alive]
             which, bits = _places(own, np.full(len(own), lv), self.slices)
-            base = which * SLICE_BITS
+            base = (which - self.first) * SLICE_BITS
             ok = np.arange(len(alive))
             for k in range(PROBES):
                 at = base[ok] + bits[k, ok]
@@ -119,16 +119,29 @@ class Filter:
         return out
 
 
-SENT = "block long, segment long, kind int, numbers binary, counts binary"
+SENT = "block long, segment long, kind int, numbers binary, counts binary, contexts binary, lengths binary"
 
 
-def _send(block: int, kind: int, numbers: np.ndarray, counts: np.ndarray, segments: int) -> list[tuple]:
-    of = ((numbers >> np.uint64(32)) % np.uint64(segments)).astype(np.int64)
-    order = np.lexsort((numbers, of))
+def _segment_of(numbers: np.ndarray, segments: int) -> np.ndarray:
+    return ((numbers >> np.uint64(32)) % np.uint64(segments)).astype(np.int64)
+
+
+def _send(block: int, kind: int, numbers: np.ndarray, counts: np.ndarray, segments: int,
+          contexts: np.ndarray | None = None) -> list[tuple]:
+    of = _segment_of(numbers, segments)
+    order = np.lexsort((numbers, of) if contexts is None else (numbers, contexts, of))
     numbers, counts, of = numbers[order], counts[order], of[order]
     bounds = np.searchsorted(of, np.arange(segments + 1))
-    return [(block, s, kind, numbers[a:b].tobytes(), counts[a:b].astype("<u4").tobytes())
-            for s, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
+    rows = []
+    for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+        if b > a:
+            runs = (None, None)
+            if contexts is not None:
+                own = contexts[order[a:b]]
+                starts = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1]
+                runs = own[starts].tobytes(), np.diff(np.r_[starts, b - a]).astype("<u4").tobytes()
+            rows.append((block, k, kind, numbers[a:b].tobytes(), counts[a:b].astype("<u4").tobytes(), *runs))
+    return rows
 
 
 def _blocks(docs: DataFrame, parts: int, modulus: int, out_fold: int) -> DataFrame:
@@ -147,15 +160,16 @@ def _count(blocked: DataFrame, parts: int, segments: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             trained = np.concatenate([w for w, out in held if not out] or [np.empty(0, np.uint64)])
-            # pairs never cross an end token into the next document: each text starts anew
-            two = np.concatenate([pairs(w) for w, out in held if not out] or [np.empty(0, np.uint64)])
+            # each text ends in an end token, behind which the next one starts
+            before = np.r_[np.uint64(END), trained[:-1]][:len(trained)]
             asked = np.concatenate([w for w, _ in held])
             words, inverse = np.unique(np.r_[trained, asked], return_inverse=True)
             counts = np.bincount(inverse[:len(trained)], minlength=len(words))
             rows = _send(now, 0, words, counts, segments)
-            if len(two):
-                rows += _send(now, 1, *np.unique(two, return_counts=True), segments)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            if len(trained):
+                two, first, found = np.unique(two_words(before, trained), return_index=True, return_counts=True)
+                rows += _send(now, 1, two, found, segments, before[first])
+            kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
             for i in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i:i + 64]), kinds)],
                                                  names=[x.split()[0] for x in SENT.split(", ")])
@@ -174,38 +188,78 @@ def _count(blocked: DataFrame, parts: int, segments: int) -> DataFrame:
     return dealt.mapInArrow(run, SENT)
 
 
-REPLIES = "kind int, block long, segment long, counts binary, numbers binary, known long, total long, histogram binary"
+REPLIES = ("kind int, block long, segment long, counts binary, numbers binary, known long, total long, "
+           "histogram binary, followers binary")
 
 
-def _add_up(sent: DataFrame) -> DataFrame:
+def _add_up(sent: DataFrame, segments: int) -> DataFrame:
     """Kind 0: the totals of the words each block asked for, plus one row per segment (block -1)
-    with the segment's words. Kind 1: one row per segment with the pairs that occur at least
-    LEAST_PAIRS times. Segment rows have the number of n-grams, the sum and a histogram of levels."""
+    with the levels of the segment's words. Kind 1: one row per segment with the levels of all its
+    pairs; kind 2: what these add to T (counts) and D (followers) of the contexts of each segment.
+    Rows of block -1 have the number of n-grams, the sum of counts and a histogram of levels."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kind = int(pdf["kind"].iloc[0])
         parts = [np.frombuffer(x, np.uint64) for x in pdf["numbers"]]
-        numbers, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+        numbers, first, inverse = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
         counts = np.bincount(inverse, np.concatenate([np.frombuffer(x, "<u4") for x in pdf["counts"]]), len(numbers))
         counts = counts.astype(np.int64)
         rows, at = [], 0
         segment = int(pdf["segment"].iloc[0])
         if kind == 0:
             for block, p in zip(pdf["block"], parts):
-                rows.append((0, int(block), segment, counts[inverse[at:at + len(p)]].tobytes(), p.tobytes(), 0, 0, None))
+                rows.append((0, int(block), segment, counts[inverse[at:at + len(p)]].tobytes(), p.tobytes(), 0, 0, None, None))
                 at += len(p)
-        keep = counts >= (LEAST_PAIRS if kind else 1)
-        numbers, counts = numbers[keep], counts[keep]
-        rows.append((kind, -1, segment, counts.tobytes(), numbers.tobytes(), len(numbers), int(counts.sum()),
-                     np.bincount(level(counts), minlength=64)[:64].astype(np.int64).tobytes()))
+            numbers, counts = numbers[counts > 0], counts[counts > 0]
+        lv = level(counts)
+        rows.append((kind, -1, segment, lv.astype(np.uint8).tobytes(), numbers.tobytes(), len(numbers), int(counts.sum()),
+                     np.bincount(lv, minlength=64)[:64].astype(np.int64).tobytes(), None))
+        if kind == 1:
+            behind = np.concatenate([np.repeat(np.frombuffer(c, np.uint64), np.frombuffer(k, "<u4"))
+                                     for c, k in zip(pdf["contexts"], pdf["lengths"])])[first]
+            contexts, which, followers = np.unique(behind, return_inverse=True, return_counts=True)
+            mass = np.bincount(which, count_of(lv), len(contexts))
+            of = _segment_of(contexts, segments)
+            order = np.argsort(of, kind="stable")
+            for k in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+                rows.append((2, -1, int(of[k[0]]), mass[k].tobytes(), contexts[k].tobytes(), 0, 0, None,
+                             followers[k].astype("<u4").tobytes()))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in REPLIES.split(", ")])
 
     return sent.groupBy("kind", "segment").applyInPandas(run, REPLIES)
 
 
-def _build_filter(grams: DataFrame) -> tuple[np.ndarray, int, int]:
-    """(bits, slices, smallest level of pairs that is entered). The driver receives one histogram
-    per segment added up by Spark, and at most FILTER_BITS of slices."""
+ANSWERS = "block long, kind int, numbers binary, counts binary, mass binary, followers binary"
+
+
+def _with_contexts(added: DataFrame) -> DataFrame:
+    """The words each block asked for, with their counts, T and D (0 where no text has them before a word)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        asked, parts = pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 2]
+        empty = np.empty(0, np.uint64)
+        all_of = np.concatenate([np.frombuffer(x, np.uint64) for x in parts["numbers"]] or [empty])
+        contexts, which = np.unique(all_of, return_inverse=True)
+        mass = np.bincount(which, np.concatenate([np.frombuffer(x) for x in parts["counts"]] or [np.empty(0)]), len(contexts))
+        behind = np.bincount(which, np.concatenate([np.frombuffer(x, "<u4") for x in parts["followers"]] or [np.empty(0)]),
+                             len(contexts))
+        contexts = np.r_[contexts, np.uint64(2**64 - 1)]
+        mass, behind = np.r_[mass, 0.0], np.r_[behind, 0.0]
+        rows = []
+        for block, numbers, counts in zip(asked["block"], asked["numbers"], asked["counts"]):
+            own = np.frombuffer(numbers, np.uint64)
+            at = np.searchsorted(contexts, own)
+            met = contexts[at] == own
+            rows.append((block, 0, numbers, counts, np.where(met, mass[at], 0.0).tobytes(), np.where(met, behind[at], 0.0).tobytes()))
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in ANSWERS.split(", ")])
+
+    return (added.where("kind = 0 and block >= 0 or kind = 2")
+            .select("segment", "kind", "block", "numbers", "counts", "followers")
+            .groupBy("segment").applyInPandas(run, ANSWERS))
+
+
+def _build_filter(grams: DataFrame) -> tuple[DataFrame | None, int, float]:
+    """(slices as rows, their number, S). The driver receives one histogram, added up by Spark."""
 
     def levels(pdf: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in pdf:
@@ -216,33 +270,22 @@ def _build_filter(grams: DataFrame) -> tuple[np.ndarray, int, int]:
 
     found = (grams.select("kind", "histogram").mapInPandas(levels, "kind long, level long, n long")
              .groupBy("kind", "level").agg(F.sum("n").alias("n")).collect())     # at most 2 x 64 rows
-    entries = {(r["kind"], r["level"]): r["n"] * r["level"] for r in found}
-    least, room = {}, FILTER_BITS // BITS_PER_ENTRY
-    for kind in (0, 1):
-        least[kind] = 65
-        for lv in sorted((lv for k, lv in entries if k == kind), reverse=True):
-            if entries[kind, lv] > room:
-                break
-            room -= entries[kind, lv]
-            least[kind] = lv
-    used = sum(n for (k, lv), n in entries.items() if lv >= least[k])
-    slices = -(-used * BITS_PER_ENTRY // SLICE_BITS)
+    total = sum(r["n"] * float(count_of(np.array(r["level"]))) for r in found if r["kind"] == 0)
+    slices = -(-sum(r["n"] * r["level"] for r in found) * BITS_PER_ENTRY // SLICE_BITS)
     if not slices:
-        return np.zeros(0, np.uint8), 0, 65
+        return None, 0, 0.0
 
     def deal(pdf: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in pdf:
-            for kind, numbers, counts in zip(b["kind"], b["numbers"], b["counts"]):
-                numbers, lv = np.frombuffer(numbers, np.uint64), level(np.frombuffer(counts, np.int64))
-                keep = lv >= least[kind]
-                numbers, lv = _salted(numbers[keep], kind), lv[keep]
+            for kind, numbers, lv in zip(b["kind"], b["numbers"], b["counts"]):
+                numbers, lv = _salted(np.frombuffer(numbers, np.uint64), kind), np.frombuffer(lv, np.uint8)
                 of = (scramble(numbers) % np.uint64(slices)).astype(np.int64)
                 order = np.argsort(of, kind="stable")
                 numbers, lv, of = numbers[order], lv[order], of[order]
                 names, first = np.unique(of, return_index=True)
-                yield pd.DataFrame({"slice": names, "numbers": [x.tobytes() for x in np.split(numbers, first[1:])],
-                                    "levels": [x.astype(np.uint8).tobytes() for x in np.split(lv, first[1:])]}
-                                   if len(of) else {"slice": [], "numbers": [], "levels": []})
+                if len(of):
+                    yield pd.DataFrame({"slice": names, "numbers": [x.tobytes() for x in np.split(numbers, first[1:])],
+                                        "levels": [x.tobytes() for x in np.split(lv, first[1:])]})
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         bits = np.zeros(SLICE_BITS, bool)
@@ -255,11 +298,57 @@ def _build_filter(grams: DataFrame) -> tuple[np.ndarray, int, int]:
         return pd.DataFrame([{"slice": int(pdf["slice"].iloc[0]), "bits": np.packbits(bits, bitorder="little").tobytes()}])
 
     built = (grams.select("kind", "numbers", "counts").mapInPandas(deal, "slice long, numbers binary, levels binary")
-             .groupBy("slice").applyInPandas(fill, "slice long, bits binary").collect())
+             .groupBy("slice").applyInPandas(fill, "slice long, bits binary"))
+    return built, slices, total
+
+
+def _joined(rows: Iterator[tuple[int, bytes]], first: int, slices: int) -> np.ndarray:
     bits = np.zeros(slices * SLICE_BITS // 8, np.uint8)
-    for r in built:
-        bits[r["slice"] * SLICE_BITS // 8:(r["slice"] + 1) * SLICE_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
-    return bits, slices, least[1]
+    for k, x in rows:
+        bits[(k - first) * SLICE_BITS // 8:(k - first + 1) * SLICE_BITS // 8] = np.frombuffer(x, np.uint8)
+    return bits
+
+
+def _ask_shards(blocked: DataFrame, parts: int, built: DataFrame, slices: int, per_shard: int) -> DataFrame:
+    """The levels of the different words and pairs of each block, from the shard of the filter that holds them."""
+
+    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+        of, found, block = Words(), [], int(pdf["block"].iloc[0])
+        for text in pdf["text"]:
+            w = of(text if isinstance(text, str) else None)
+            found += [np.unique(w), np.unique(_salted(pairs(w), 1))]
+        numbers = np.unique(np.concatenate(found))
+        shard = (scramble(numbers) % np.uint64(slices)).astype(np.int64) // per_shard
+        order = np.argsort(shard, kind="stable")
+        names, first = np.unique(shard[order], return_index=True)
+        return pd.DataFrame({"block": block, "shard": names, "numbers": [x.tobytes() for x in np.split(numbers[order], first[1:])]})
+
+    def answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(asked):
+            first = int(asked["shard"].iloc[0]) * per_shard
+            read = Filter(_joined(zip(held["slice"], held["bits"]), first, per_shard), slices, first)
+            for block, numbers in zip(asked["block"], asked["numbers"]):
+                lv = read.levels(np.frombuffer(numbers, np.uint64))
+                rows.append((block, 1, numbers, lv.astype(np.uint8).tobytes(), None, None))
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in ANSWERS.split(", ")])
+
+    asked = blocked.select("block", "text").groupBy("block").applyInPandas(ask, "block long, shard long, numbers binary")
+    shards = cut(built, "filter").withColumn("shard", F.expr(f"slice div {per_shard}"))
+    return asked.groupBy("shard").cogroup(shards.groupBy("shard")).applyInPandas(answer, ANSWERS)
+
+
+class Answers:
+    """Levels that shards of the filter have sent to a block."""
+
+    def __init__(self, rows: pd.DataFrame):
+        numbers = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["numbers"]] or [np.empty(0, np.uint64)])
+        lv = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["counts"]] or [np.empty(0, np.uint8)])
+        order = np.argsort(numbers)
+        self.numbers, self.found = numbers[order], lv[order]
+
+    def levels(self, numbers: np.ndarray) -> np.ndarray:
+        return self.found[np.searchsorted(self.numbers, numbers)].astype(np.int64)
 
 
 def _salted(numbers: np.ndarray, kind: int) -> np.ndarray:
@@ -277,21 +366,28 @@ def score(docs: DataFrame, modulus: int = 7, out_fold: int = 2) -> DataFrame:
     chars = (size["c"] or 0) + size["n"]
     parts, segments = buckets_for(chars, BLOCK_CHARS), buckets_for(chars // 6, SEGMENT_WORDS)
     blocked = _blocks(docs, parts, modulus, out_fold)
-    added = cut(_add_up(_count(blocked, parts, segments)), "ngrams")
-    grams = added.where("block = -1")
+    added = cut(_add_up(_count(blocked, parts, segments), segments), "ngrams")
+    grams = added.where("block = -1 and kind < 2")
     sums = {r["kind"]: r for r in grams.groupBy("kind").agg(F.sum("known").alias("v"), F.sum("total").alias("n")).collect()}
     n, v = (sums[0]["n"], sums[0]["v"]) if 0 in sums else (0, 0)
-    bits, slices, _ = _build_filter(grams)
-    shared = spark.sparkContext.broadcast(bits)       # at most FILTER_BITS
+    built, slices, total = _build_filter(grams)
+    replies, shared = _with_contexts(added), None
+    if slices * SLICE_BITS > FILTER_BITS:
+        replies = replies.unionByName(_ask_shards(blocked, parts, built, slices, SHARD_SLICES))
+    else:
+        rows = built.toLocalIterator() if slices else ()
+        shared = spark.sparkContext.broadcast(_joined(rows, 0, slices))       # at most FILTER_BITS
 
     def run(texts: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        read, of = Filter(shared.value, slices), Words()
+        read, of = Filter(shared.value, slices) if shared else Answers(replies[replies["kind"] == 1]), Words()
+        replies = replies[replies["kind"] == 0]
         numbers = np.concatenate([np.frombuffer(x, np.uint64) for x in replies["numbers"]] or [np.empty(0, np.uint64)])
-        counts = np.concatenate([np.frombuffer(x, np.int64) for x in replies["counts"]] or [np.empty(0, np.int64)])
         order = np.argsort(numbers)
-        numbers, counts = numbers[order], counts[order]
+        counts, mass, behind = (np.concatenate([np.frombuffer(x, k) for x in replies[c]] or [np.empty(0, k)])[order]
+                                for c, k in (("counts", np.int64), ("mass", float), ("followers", float)))
+        numbers = numbers[order]
         base_of = np.log10((counts + 1) / (n + v + 1))
-        quantised = count_of(read.levels(numbers))
+        single_of = (count_of(read.levels(numbers)) + 1) / (total + v + 1)
         end, m = int(np.searchsorted(numbers, np.uint64(END))), len(numbers)
         rows, held, waiting = [], [], 0
 
@@ -304,9 +400,8 @@ def score(docs: DataFrame, modulus: int = 7, out_fold: int = 2) -> DataFrame:
             before[starts] = end
             two, which = np.unique(before * m + at, return_inverse=True)
             cw = count_of(read.levels(_salted(two_words(numbers[two // m], numbers[two % m]), 1)))[which]
-            cv, single = quantised[before], (quantised[at] + 1) / (n + v + 1)
-            joint = np.minimum(1.0, cw / np.maximum(cv, 1))
-            p = np.log10(np.where(cv > 0, 0.5 * joint + 0.5 * single, single))
+            d, single = behind[before], single_of[at]
+            p = np.log10(np.where(d > 0, (cw + d * single) / np.maximum(mass[before] + d, 1), single))
             sums = [np.add.reduceat(x, starts) for x in (counts[at] > 0, base_of[at], p)]
             for (key, out, x), known, base, full in zip(held, *(x.tolist() for x in sums)):
                 rows.append((None if pd.isna(key) else int(key), bool(out), len(x), int(known), n, base, full))
@@ -323,5 +418,4 @@ def score(docs: DataFrame, modulus: int = 7, out_fold: int = 2) -> DataFrame:
         out = pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.split(", ")])
         return out.astype({"doc_id": "Int64"})
 
-    replies = added.where("block >= 0").select("block", "numbers", "counts")
     return blocked.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(run, OUT)

@@ -369,6 +369,32 @@ def test_language_model(spark, docs):
         assert r.score < 0
 
 
+def test_score_is_a_probability_whatever_holds_the_filter(spark, docs, monkeypatch):
+    texts = {d: re.sub("[A-Z]", lambda m: m[0].lower(), t or "") for d, t, _ in docs}
+    lines = {d: [*WORD.findall(t), None] for d, t in texts.items()}
+    trained = [x for d, x in lines.items() if zlib.crc32(str(d).encode()) % 7 != 2]
+    single = collections.Counter(w for x in trained for w in x)
+    two = collections.Counter(p for x in trained for p in zip([None, *x], x))
+    q = lambda c: (3 * 2.0 ** (c.bit_length() - 1) - 1) / 2 if c else 0.0
+    mass, followers = collections.Counter(), collections.Counter(a for a, _ in two)
+    for (a, _), c in two.items():
+        mass[a] += q(c)
+    room = sum(map(q, single.values())) + len(single) + 1
+    p1 = lambda w: (q(single[w]) + 1) / room     # noqa: E731
+    p2 = lambda a, w: (q(two[a, w]) + followers[a] * p1(w)) / (mass[a] + followers[a]) if followers[a] else p1(w)
+    for a in [None, *list(single)[:20]]:
+        assert sum(p2(a, w) for w in single) + p2(a, "unknown word") == pytest.approx(1)
+    exact = {d: sum(math.log10(p2(a, w)) for a, w in zip([None, *x], x)) for d, x in lines.items()}
+    rows = {r.doc_id: r for r in queries.op9_bloom_lm(spark, DATA).collect()}
+    off = [abs(rows[d].score - s) / len(lines[d]) for d, s in exact.items()]
+    assert np.mean(off) < 0.02          # the filter's false hits
+    assert np.mean([x < 1e-9 for x in off]) > 0.2
+    monkeypatch.setattr(lm, "FILTER_BITS", 0)
+    monkeypatch.setattr(lm, "SHARD_SLICES", 3)
+    again = {r.doc_id: r.score for r in queries.op9_bloom_lm(spark, DATA).collect()}
+    assert all(again[d] == pytest.approx(r.score, rel=1e-12) for d, r in rows.items())
+
+
 def test_filter_reads_what_was_entered():
     rng = np.random.default_rng(5)
     numbers = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
