@@ -33,6 +33,8 @@ FILTER_BITS = 1 << 29       # of a broadcast filter
 SHARD_SLICES = 128          # of one that is not
 SLICE_BITS = 1 << 17
 BITS_PER_ENTRY, PROBES = 12, 6
+CONTEXT_BITS = 36           # at least 32, by which words are dealt to segments
+LOW_BITS = np.uint64(64 - CONTEXT_BITS)
 KNOWN_WORDS = 400_000
 CHUNK_WORDS = 400_000       # words looked up at once
 END = 0x9AE16A3B2F90404F    # the end token's number
@@ -72,7 +74,15 @@ def pairs(words: np.ndarray) -> np.ndarray:
 
 
 def two_words(before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return scramble(before * np.uint64(0x9E3779B97F4A7C15) + words)
+    """The upper CONTEXT_BITS are those of the word before, the others a hash of both: so a pair
+    tells its context without another number. Two contexts are taken for one, or two words behind
+    the same context, far more rarely than the filter has false hits."""
+    both = scramble(before * np.uint64(0x9E3779B97F4A7C15) + words)
+    return (context_of(before) << LOW_BITS) | (both & ((np.uint64(1) << LOW_BITS) - np.uint64(1)))
+
+
+def context_of(numbers: np.ndarray) -> np.ndarray:
+    return numbers >> LOW_BITS
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -119,29 +129,20 @@ class Filter:
         return out
 
 
-SENT = "block long, segment long, kind int, numbers binary, counts binary, contexts binary, lengths binary"
+SENT = "block long, segment long, kind int, numbers binary, counts binary"
 
 
 def _segment_of(numbers: np.ndarray, segments: int) -> np.ndarray:
     return ((numbers >> np.uint64(32)) % np.uint64(segments)).astype(np.int64)
 
 
-def _send(block: int, kind: int, numbers: np.ndarray, counts: np.ndarray, segments: int,
-          contexts: np.ndarray | None = None) -> list[tuple]:
-    of = _segment_of(numbers, segments)
-    order = np.lexsort((numbers, of) if contexts is None else (numbers, contexts, of))
+def _send(block: int, kind: int, numbers: np.ndarray, counts: np.ndarray, segments: int) -> list[tuple]:
+    of = _segment_of(scramble(numbers) if kind else numbers, segments)     # pairs of one context are dealt out
+    order = np.lexsort((numbers, of))
     numbers, counts, of = numbers[order], counts[order], of[order]
     bounds = np.searchsorted(of, np.arange(segments + 1))
-    rows = []
-    for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-        if b > a:
-            runs = (None, None)
-            if contexts is not None:
-                own = contexts[order[a:b]]
-                starts = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1]
-                runs = own[starts].tobytes(), np.diff(np.r_[starts, b - a]).astype("<u4").tobytes()
-            rows.append((block, k, kind, numbers[a:b].tobytes(), counts[a:b].astype("<u4").tobytes(), *runs))
-    return rows
+    return [(block, k, kind, numbers[a:b].tobytes(), counts[a:b].astype("<u4").tobytes())
+            for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
 
 
 def _blocks(docs: DataFrame, parts: int, modulus: int, out_fold: int) -> DataFrame:
@@ -167,9 +168,8 @@ def _count(blocked: DataFrame, parts: int, segments: int) -> DataFrame:
             counts = np.bincount(inverse[:len(trained)], minlength=len(words))
             rows = _send(now, 0, words, counts, segments)
             if len(trained):
-                two, first, found = np.unique(two_words(before, trained), return_index=True, return_counts=True)
-                rows += _send(now, 1, two, found, segments, before[first])
-            kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+                rows += _send(now, 1, *np.unique(two_words(before, trained), return_counts=True), segments)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
             for i in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i:i + 64]), kinds)],
                                                  names=[x.split()[0] for x in SENT.split(", ")])
@@ -201,7 +201,7 @@ def _add_up(sent: DataFrame, segments: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kind = int(pdf["kind"].iloc[0])
         parts = [np.frombuffer(x, np.uint64) for x in pdf["numbers"]]
-        numbers, first, inverse = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+        numbers, inverse = np.unique(np.concatenate(parts), return_inverse=True)
         counts = np.bincount(inverse, np.concatenate([np.frombuffer(x, "<u4") for x in pdf["counts"]]), len(numbers))
         counts = counts.astype(np.int64)
         rows, at = [], 0
@@ -215,11 +215,9 @@ def _add_up(sent: DataFrame, segments: int) -> DataFrame:
         rows.append((kind, -1, segment, lv.astype(np.uint8).tobytes(), numbers.tobytes(), len(numbers), int(counts.sum()),
                      np.bincount(lv, minlength=64)[:64].astype(np.int64).tobytes(), None))
         if kind == 1:
-            behind = np.concatenate([np.repeat(np.frombuffer(c, np.uint64), np.frombuffer(k, "<u4"))
-                                     for c, k in zip(pdf["contexts"], pdf["lengths"])])[first]
-            contexts, which, followers = np.unique(behind, return_inverse=True, return_counts=True)
+            contexts, which, followers = np.unique(context_of(numbers), return_inverse=True, return_counts=True)
             mass = np.bincount(which, count_of(lv), len(contexts))
-            of = _segment_of(contexts, segments)
+            of = _segment_of(contexts << LOW_BITS, segments)
             order = np.argsort(of, kind="stable")
             for k in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
                 rows.append((2, -1, int(of[k[0]]), mass[k].tobytes(), contexts[k].tobytes(), 0, 0, None,
@@ -247,10 +245,11 @@ def _with_contexts(added: DataFrame) -> DataFrame:
         mass, behind = np.r_[mass, 0.0], np.r_[behind, 0.0]
         rows = []
         for block, numbers, counts in zip(asked["block"], asked["numbers"], asked["counts"]):
-            own = np.frombuffer(numbers, np.uint64)
+            own = context_of(np.frombuffer(numbers, np.uint64))
             at = np.searchsorted(contexts, own)
             met = contexts[at] == own
-            rows.append((block, 0, numbers, counts, np.where(met, mass[at], 0.0).tobytes(), np.where(met, behind[at], 0.0).tobytes()))
+            rows.append((block, 0, numbers, counts, np.where(met, mass[at], 0.0).tobytes(),
+                         np.where(met, behind[at], 0).astype("<u4").tobytes()))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in ANSWERS.split(", ")])
 
     return (added.where("kind = 0 and block >= 0 or kind = 2")
@@ -384,7 +383,7 @@ def score(docs: DataFrame, modulus: int = 7, out_fold: int = 2) -> DataFrame:
         numbers = np.concatenate([np.frombuffer(x, np.uint64) for x in replies["numbers"]] or [np.empty(0, np.uint64)])
         order = np.argsort(numbers)
         counts, mass, behind = (np.concatenate([np.frombuffer(x, k) for x in replies[c]] or [np.empty(0, k)])[order]
-                                for c, k in (("counts", np.int64), ("mass", float), ("followers", float)))
+                                for c, k in (("counts", np.int64), ("mass", float), ("followers", "<u4")))
         numbers = numbers[order]
         base_of = np.log10((counts + 1) / (n + v + 1))
         single_of = (count_of(read.levels(numbers)) + 1) / (total + v + 1)
