@@ -111,14 +111,15 @@ O["o_cookies"] = union(
 _det = "CASE WHEN storage_type = 'localStorage' THEN 4 ELSE 5 END"
 _label = "storage_type || '[\"' || key || '\"]'"
 _cut = lambda n: f"{_label} || ' = \"' || CASE WHEN length(value) > {n} THEN left(value, {n}) || '…' ELSE value END || '\"'"
-O["o_storage"] = union(
-    *[find("fx_storage", _det, i, "'high'", "'storage_risk'", f"'{n} found in ' || storage_type", _cut(100), "'high'",
+_storage = lambda src: union(
+    *[find(src, _det, i, "'high'", "'storage_risk'", f"'{n} found in ' || storage_type", _cut(100), "'high'",
            item="item_ord", where=f"regexp_matches(value, {re2(p)})") for i, (n, p) in enumerate(cs.STORED_TOKENS)],
-    find("fx_storage", _det, 100, "'medium'", "'storage_risk'", "'Sensitive key in ' || storage_type || ': \"' || key || '\"'", _cut(80), "'medium'",
+    find(src, _det, 100, "'medium'", "'storage_risk'", "'Sensitive key in ' || storage_type || ': \"' || key || '\"'", _cut(80), "'medium'",
          item="item_ord", where=f"regexp_matches(key, {re2(cs.SENSITIVE_KEY)}) AND length(value) > 8 AND regexp_matches(key, {re2(cs.SECRET_KEY)})"),
-    find("fx_storage", _det, 101, "'medium'", "'storage_risk'", "'Object with sensitive fields in ' || storage_type || ': \"' || key || '\"'",
+    find(src, _det, 101, "'medium'", "'storage_risk'", "'Object with sensitive fields in ' || storage_type || ': \"' || key || '\"'",
          f"{_label} || ' = ' || left(value, 200)", "'medium'", item="item_ord",
          where=f"CASE WHEN json_valid(value) AND left(value, 1) = '{{' THEN regexp_matches(array_to_string(json_keys(value), ' '), {re2(cs.SENSITIVE_KEY)}) ELSE false END"))
+O["o_storage"], O["o_page_found"] = _storage("fx_storage"), _storage("o_page_items")
 O["o_console_hits"] = f"""SELECT *, regexp_matches(text, {re2(cs.STACK_FRAME)}) AS stack FROM fx_console WHERE type IN ('error', 'warning')"""
 O["o_console"] = find(
     f"(SELECT *, min(CASE WHEN stack THEN ord END) OVER (PARTITION BY scan_id, page_id) AS stop FROM o_console_hits) t",
@@ -183,6 +184,8 @@ O["o_storage_bodies"] = _body("fx_storage", "storage", "item_ord", _label, "valu
                               where=f"regexp_matches(key, {re2(cs.SENSITIVE_KEY)}) AND length(value) > 8")
 O["o_bundle_bodies"] = _body("(SELECT NULL AS scan_id, NULL AS page_id, NULL AS url, asset_url, body FROM fx_assets) t", "bundle", 0,
                              "'JS bundle (' || asset_url || ')'", "body", 21, 22, 23, "NULL", 26, 24, asset="asset_url")
+O["o_copy_bodies"] = _body("(SELECT NULL AS scan_id, NULL AS page_id, NULL AS url, asset_url, body FROM fx_asset_copies) t", "copy", 0,
+                           "'JS bundle (' || asset_url || ')'", "body", 21, 22, 23, "NULL", 26, 24, asset="asset_url")
 _BKEY = "scan_id, page_id, url, asset_url, item, label"
 
 
@@ -288,10 +291,10 @@ O["o_maps"] = find(
 O["o_bundles"] = union(f"SELECT {COLS} FROM o_bundle_raw", f"SELECT {COLS} FROM o_maps")
 
 # ---- probes -----------------------------------------------------------------
-O["o_listed"] = f"""SELECT *, contains(content_type, 'json') AS js, contains(content_type, 'text') AS tx FROM fx_responses WHERE path IN {inlist(probes.PROBE_PATHS)} AND status NOT IN (401, 403, 404, 405, 410)"""
+O["o_listed"] = f"""SELECT *, contains(content_type, 'json') AS js, contains(content_type, 'text') AS tx, CASE WHEN json_valid(body) THEN array_to_string(list_transform(string_split(json_pretty(body), chr(10)), lambda x: repeat(' ', CAST((length(x) - length(ltrim(x, ' '))) // 2 AS INT)) || ltrim(x, ' ')), chr(10)) END AS pretty FROM fx_responses WHERE path IN {inlist(probes.PROBE_PATHS)} AND status NOT IN (401, 403, 404, 405, 410)"""
 O["o_tree"] = """SELECT scan_id, path, key FROM (SELECT l.scan_id, l.path, t.key, t.fullkey, len(string_split(regexp_replace(t.fullkey, '\\[', '.[', 'g'), '.')) - 1 AS depth FROM o_listed l, json_tree(CASE WHEN json_valid(l.body) THEN l.body ELSE 'null' END) t WHERE l.js) WHERE depth BETWEEN 1 AND 5""".replace("\\\\", "\\")
 O["o_keys"] = f"""SELECT scan_id, path, list_sort(list(DISTINCT key)) AS keys FROM o_tree WHERE key IN {inlist(probes.SENSITIVE_FIELDS)} OR lower(key) IN {inlist(probes.SENSITIVE_FIELDS)} GROUP BY scan_id, path"""
-O["o_probe"] = """SELECT l.*, CAST(NULL AS BIGINT) AS page_id, coalesce(k.keys, []) AS keys, CASE WHEN js OR tx THEN left(body, 400) END AS preview, regexp_matches(l.path, '(?i)/(admin|debug|internal|config|\\.env)') AS risky,
+O["o_probe"] = """SELECT l.*, CAST(NULL AS BIGINT) AS page_id, coalesce(k.keys, []) AS keys, CASE WHEN js AND json_valid(body) THEN CASE WHEN length(pretty) > 400 THEN left(pretty, 400) || chr(10) || '…' ELSE pretty END WHEN js OR tx THEN left(body, 400) END AS preview, regexp_matches(l.path, '(?i)/(admin|debug|internal|config|\\.env)') AS risky,
  '[Passive endpoint check] GET ' || l.path || ' → 200 ' || content_type AS head FROM o_listed l LEFT JOIN o_keys k ON l.scan_id = k.scan_id AND l.path = k.path""".replace("\\\\", "\\")
 _show = lambda none: f"chr(10) || chr(10) || 'Preview:' || chr(10) || coalesce(preview, '{none}')"
 O["o_probes"] = union(
@@ -468,6 +471,35 @@ for _d in (1, 2):    # no scan of the view goes deeper than the default of 2
 S: dict[str, str] = {}
 _rule = lambda src, where="true": f"SELECT {COLS} FROM {src} WHERE {where}"
 S["page_source"] = r"SELECT scan_id, page_id, url, trim(regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1)) AS title, CAST(least(length(html), 100000) AS INT) AS n_chars, md5(left(html, 100000)) AS html_md5 FROM fx_pages"
+S["page_content_type"] = "SELECT scan_id, page_id, CASE WHEN (page_id + 10) % 3 <> 0 AND page_id % 13 <> 12 THEN 'text/html' END AS content_type FROM fx_pages"
+O["o_page_items"] = union(*[f"""SELECT scan_id, page_id, url, '{_k}' AS storage_type, row_number() OVER (PARTITION BY page_id ORDER BY id) - 1 AS item_ord, key, value FROM (
+ SELECT p.scan_id, p.page_id, p.url, t.id, t.key, json_extract_string(t.value, '$') AS value FROM (SELECT * FROM fx_page_storage WHERE json_valid(storage_json)) p, json_each(p.storage_json, '$.{_k}') t
+ WHERE json_type(p.storage_json, '$.{_k}') = 'OBJECT')""" for _k in ("localStorage", "sessionStorage")])
+S["page_storage_items"] = """SELECT i.*, coalesce(n, 0) AS n_findings FROM o_page_items i LEFT JOIN (SELECT page_id, item_ord, det_ord, count(*) AS n FROM o_page_found GROUP BY ALL) f
+ ON f.page_id = i.page_id AND f.item_ord = i.item_ord AND f.det_ord = CASE WHEN i.storage_type = 'localStorage' THEN 4 ELSE 5 END"""
+# RFC 3492 as a machine: one step is one character compared, or one digit written
+S["international_hosts"] = """SELECT * FROM (WITH RECURSIVE lab AS (SELECT word, list_transform(string_split(word, ''), lambda c: CAST(unicode(c) AS BIGINT)) AS cps, regexp_replace(word, '[^a-z]', '', 'g') AS basic FROM fx_labels),
+ prep AS (SELECT *, list_sort(list_distinct(list_filter(cps, lambda c: c >= 128))) AS ms, length(basic) AS b FROM lab),
+ m(word, k, i, n, delta, bias, h, q, dig, out) AS (
+  SELECT word, 1, 1, ms[1], (ms[1] - 128) * (b + 1), CAST(72 AS BIGINT), CAST(b AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT), basic || CASE WHEN b > 0 THEN '-' ELSE '' END FROM prep
+  UNION ALL
+  SELECT word, CASE WHEN over THEN k + 1 ELSE k END, CASE WHEN over THEN 1 WHEN stay THEN i ELSE i + 1 END,
+   CASE WHEN over THEN ms[k + 1] ELSE n END,
+   CASE WHEN over THEN delta + 1 + (ms[k + 1] - n - 1) * (h + 1) WHEN stay AND last THEN 0 WHEN stay THEN delta WHEN cps[i] < n THEN delta + 1 ELSE delta END,
+   CASE WHEN stay AND last THEN CASE WHEN ad <= 455 THEN (36 * ad) // (ad + 38) WHEN ad // 35 <= 455 THEN 36 + (36 * (ad // 35)) // (ad // 35 + 38) ELSE 72 + (36 * (ad // 1225)) // (ad // 1225 + 38) END ELSE bias END,
+   CASE WHEN stay AND last THEN h + 1 ELSE h END,
+   CASE WHEN stay THEN CASE WHEN last THEN -2 ELSE (v - t) // (36 - t) END ELSE -1 END,
+   CASE WHEN stay AND NOT last THEN dig + 1 ELSE 0 END,
+   CASE WHEN stay THEN out || substr('abcdefghijklmnopqrstuvwxyz0123456789', CAST(CASE WHEN last THEN v ELSE t + (v - t) % (36 - t) END AS INT) + 1, 1) ELSE out END
+  FROM (SELECT *, stay AND v < t AS last, CASE WHEN h = b THEN delta // 700 + (delta // 700) // (h + 1) ELSE delta // 2 + (delta // 2) // (h + 1) END AS ad FROM (
+   SELECT m.*, p.cps, p.ms, p.b, i > len(p.cps) AS over, i <= len(p.cps) AND p.cps[i] = n AND q <> -2 AS stay, CASE WHEN q = -1 THEN delta ELSE q END AS v,
+    greatest(1, least(26, 36 * (dig + 1) - bias)) AS t FROM m JOIN prep p ON m.word = p.word WHERE NOT (i > len(p.cps) AND k = len(p.ms)))))
+ SELECT word, 'https://shop.xn--' || out || '.example/' AS url FROM (SELECT m.* FROM m JOIN prep p ON m.word = p.word WHERE i > len(cps) AND k = len(ms)))"""
+for _n, _f in _GROUPS.items():
+    if _n != "framework":
+        O["o_cp_" + _n] = _f("o_copy_bodies")
+S["asset_store"] = ("SELECT det_ord, item_ord, rule_ord, pos, severity, category, title, asset_url, evidence, confidence FROM ("
+                    + union(*[f"SELECT * FROM o_cp_{n}" for n in _GROUPS if n != "framework"]) + ")")
 S["request_source"] = "SELECT request_id, scan_id, page_id, url, resource_type, CAST(CASE WHEN json_valid(response_headers_json) THEN len(json_keys(response_headers_json)) ELSE 0 END AS INT) AS n_headers FROM fx_requests"
 S["pr_normalize"] = """SELECT review_id, coalesce(p->>'$.title', '') AS title, p->>'$.user.login' AS author, p->>'$.head.ref' AS head_ref, p->>'$.base.ref' AS base_ref, p->>'$.head.sha' AS head_sha, json_array_length(p, '$.requested_reviewers') > 0 AS reviewer_assigned,
  '2024-01-02 03:04:05' AS updated_at, CAST(i AS INT) AS file_ord, f->>'$.filename' AS path, f->>'$.status' AS status, CAST(f->>'$.additions' AS INT) AS additions, CAST(f->>'$.deletions' AS INT) AS deletions, f->>'$.patch' AS patch FROM o_kpr"""

@@ -17,6 +17,7 @@ from glasswake.operators import (
 from glasswake.plans import change_review as review_plan, documents, reports, site_scan as scan_plan
 from glasswake.plans.lineage import checkpoint_dir, cut
 from glasswake.sources import captures
+from glasswake.sources.asset_store import AssetStore
 from glasswake.sources.review_store import ReviewStore
 
 SHOW = [*fi.KEYS, *fi.ORDER, "severity", "category", "title", "url", "asset_url", "evidence",
@@ -156,6 +157,39 @@ def _(v):
                              F.coalesce(F.size("response_headers"), F.lit(0)).alias("n_headers"))
 
 
+@query("page_storage_items")
+def _(v):
+    """Web storage as the pages carry it, with the findings on it counted."""
+    items = captures.storage_items(v.page_storage)
+    found = clientstate.storage_findings(items).groupBy("page_id", "det_ord", "item_ord").agg(
+        F.count("*").alias("n_findings"))
+    det = F.when(F.col("storage_type") == "localStorage", fi.DET["localStorage"]).otherwise(fi.DET["sessionStorage"])
+    return items.withColumn("det_ord", det).join(found, ["page_id", "det_ord", "item_ord"], "left").select(
+        "scan_id", "page_id", "url", "storage_type", "item_ord", "key", "value",
+        F.coalesce("n_findings", F.lit(0)).alias("n_findings"))
+
+
+@query("page_content_type")
+def _(v):
+    return captures.pages(v.pages.drop("headers")).select("scan_id", "page_id", "content_type")
+
+
+@query("international_hosts")
+def _(v):
+    """Every word of the documents that has a letter beyond ASCII, as the name of a host."""
+    named = U.with_normalized(v.labels.withColumn("raw", F.concat(F.lit("shop."), "word", F.lit(".example"))), "raw", "url")
+    return named.select("word", "url")
+
+
+@query("asset_store")
+def _(v):
+    """Assets under two addresses each, in two runs: every body is scanned once."""
+    store = AssetStore(v.spark, f"{checkpoint_dir(v.spark)}/asset-store-{uuid.uuid4().hex}")
+    store.add(v.assets)
+    store.add(v.asset_copies)
+    return store.findings(v.asset_copies).select(*fi.ORDER, "severity", "category", "title", "asset_url", "evidence", "confidence")
+
+
 @query("pr_normalize")
 def _(v):
     reviews, files = captures.normalize_pull_requests(v.pr_payloads)

@@ -125,13 +125,19 @@ def views(engine: str) -> dict[str, str]:
  WHEN 9 THEN 'see http://192.168.1.10:8080/status' WHEN 10 THEN 'go("/admin","/internal/a b","/api/admin/x","/staging/")' WHEN 11 THEN 'Authorization: Bearer abcdefghijklmnopqrstuvwxyz' WHEN 12 THEN 'token: "your-token-goes-here" rk-0123456789abcdefGH' ELSE '' END) AS content FROM documents"""
     v["fx_assets"] = """SELECT concat('https://cdn', CAST(doc_id AS STRING), '.example.net/a.js') AS asset_url,
  concat(content, chr(10), CASE doc_id % 2 WHEN 0 THEN '//# sourceMappingURL=a.js.map' ELSE '//@ sourceMappingURL=data:application/json;base64,e30=' END, chr(10), CASE WHEN doc_id % 4 = 0 THEN 'fetch("/internal/x")' ELSE '' END) AS body FROM fx_content"""
+    v["fx_asset_copies"] = """SELECT asset_url, body FROM fx_assets UNION ALL SELECT concat(asset_url, '?copy') AS asset_url, body FROM fx_assets"""
+    v["fx_page_storage"] = f"""SELECT {scan_of('page_id')} AS scan_id, page_id, {url_of('page_id')} AS url, CASE page_id % 7 WHEN 5 THEN NULL WHEN 6 THEN 'broken' ELSE
+ concat('{{{{"localStorage":', CASE WHEN page_id % 4 = 3 THEN 'null' ELSE concat('{{{{"theme":"dark","auth_token":"Bearer ', md5({pid}), '"', CASE WHEN page_id % 2 = 0 THEN ',"cart":"[1,2]"' ELSE '' END, '}}}}') END,
+ ',"sessionStorage":', CASE WHEN page_id % 3 = 0 THEN '{{{{}}}}' ELSE concat('{{{{"user_password":"', substring(md5({pid}), 1, 12), '"}}}}') END, '}}}}') END AS storage_json FROM pages""".replace("{{", "{").replace("}}", "}")
+    v["fx_labels"] = """SELECT DISTINCT word FROM (SELECT explode(split(lower(text), '[^a-zà-ɏ]+')) AS word FROM documents) t WHERE length(word) <> octet_length(word)""" if engine == "spark" else \
+        """SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-zà-ɏ]+')) AS word FROM documents) t WHERE length(word) <> strlen(word)"""
     v["fx_map_responses"] = """SELECT concat('https://cdn', CAST(doc_id AS STRING), '.example.net/a.js.map') AS url, CAST(CASE doc_id % 3 WHEN 1 THEN 404 ELSE 200 END AS INT) AS status,
  CASE WHEN doc_id % 2 = 0 THEN 'application/json' ELSE 'text/html' END AS content_type FROM documents"""
     v["fx_robots"] = """SELECT scan_id, concat(origin, '/robots.txt') AS url, concat_ws(chr(10), CASE WHEN (scan_id + 1) % 3 <> 0 THEN 'User-agent: *' END, CASE WHEN (scan_id + 2) % 3 <> 0 THEN 'Disallow: /admin ' END,
  CASE WHEN scan_id % 3 <> 0 THEN 'disallow: /backup/old' END, 'Disallow: /cart', 'Allow: /config') AS body FROM fx_scans"""
     v["fx_responses"] = f"""SELECT s.scan_id, p.path, concat(s.origin, p.path) AS url, CAST(CASE (s.scan_id + p.i) % 5 WHEN 0 THEN 404 WHEN 1 THEN 403 ELSE 200 END AS INT) AS status,
  CASE p.i % 3 WHEN 0 THEN 'application/json' WHEN 1 THEN 'text/html' ELSE 'image/png' END AS content_type,
- CASE (s.scan_id + p.i) % 4 WHEN 0 THEN '{{"user":{{"email":"a@example.com","roles":["x"]}},"note":"{{role}}"}}' WHEN 1 THEN '{{"ok":true}}' WHEN 2 THEN '[{{"a":{{"b":{{"c":{{"d":{{"token":1}}}}}}}},"ApiKey":2,"text":"secret"}}]' ELSE 'not json' END AS body
+ CASE (s.scan_id + p.i) % 4 WHEN 0 THEN '{{"user":{{"email":"a@example.com","roles":["x"]}},"note":"{{role}}"}}' WHEN 1 THEN concat('{{"ok":true,"rows":[', repeat('{{"n": 1.50, "e": {{ }}, "s":"a/"}}, ', CAST(p.i AS INT)), 'null]}}') WHEN 2 THEN '[{{"a":{{"b":{{"c":{{"d":{{"token":1}}}}}}}},"ApiKey":2,"text":"secret"}}]' ELSE 'not json' END AS body
  FROM fx_scans s {rows('p', 'i, path', list(enumerate(['/api/users', '/admin', '/.env', '/api/config', '/debug', '/status', '/config.json', '/health', '/not-listed', '/api/admin', '/internal'])))}"""
     v["fx_links"] = f"""SELECT scan_id, concat('https://site', CAST(scan_id AS STRING), '.example.com/p/', CAST(page_id - 50 * scan_id AS STRING)) AS src_url, k.x AS link_ord,
  concat(CASE WHEN k.x = 5 THEN 'https://other.example.org' ELSE concat('https://site', CAST(scan_id AS STRING), '.example.com') END, '/p/', CAST(((page_id - 50 * scan_id) * 3 + k.x) % 50 AS STRING),

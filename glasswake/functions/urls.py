@@ -2,8 +2,8 @@
 
 ``with_url`` parses a URL column with ONE regular-expression pass into a struct;
 everything else reads fields of that struct, so a URL is never parsed twice in
-a plan.  Known limits: international host names are lower-cased but not turned
-into punycode, and non-http schemes are passed through as they are.
+a plan.  International host names take their ASCII form (``hosts``); non-http
+schemes are passed through as they are.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from glasswake.functions.bind import bind
+from glasswake.functions.hosts import ascii_host
 from glasswake.functions.text import sql_text
 
 # Links that change state, and schemes that are never crawled.
@@ -82,7 +83,7 @@ def with_url(df: DataFrame, src: str | Column, out: str) -> DataFrame:
     df = df.withColumn("_g", F.split(F.regexp_replace(clean(c), _HTTP_URL, groups), _SEP, -1))
     g = [f"get(_g, {i})" for i in range(7)]
     df = df.withColumn("_u", F.expr(f"""CASE WHEN size(_g) = 7 THEN struct(
-        lower({g[0]}) AS scheme, {g[1]} AS user, lower({g[2]}) AS host,
+        lower({g[0]}) AS scheme, {g[1]} AS user, {ascii_host(f"lower({g[2]})")} AS host,
         regexp_replace({g[3]}, '^0+(?=.)', '') AS port,
         coalesce(nullif(replace({g[4]}, {sql_text(chr(92))}, '/'), ''), '/') AS path,
         CASE WHEN {g[5]} = '?' THEN '' ELSE {g[5]} END AS search, {g[6]} AS hash) END"""))

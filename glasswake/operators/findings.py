@@ -110,15 +110,19 @@ def with_finding_id(findings: DataFrame) -> DataFrame:
     return findings.withColumn("finding_id", F.concat_ws(":", *parts, asset))
 
 
-def gate(findings: DataFrame, options: DataFrame) -> DataFrame:
+def gate(findings: DataFrame, options: DataFrame | None) -> DataFrame:
     """Drop findings of detectors that the scan's options switch off.
 
     ``options`` has one row per scan, so this is an equi join on scan_id whose
     strategy (and skew split) adaptive execution picks from the real sizes.  A scan
-    without a row, or with a NULL flag, has the default options.
+    without a row, or with a NULL flag, has the default options; without ``options`` all have.
     """
-    flag = lambda name: F.coalesce(F.col("opt")[name], F.lit(DEFAULT_OPTIONS[name]))
-    rows = findings.join(options.select("scan_id", "opt"), "scan_id", "left")
+    if options is None:
+        flag = lambda name: F.lit(DEFAULT_OPTIONS[name])
+        rows = findings.withColumn("opt", F.lit(None))
+    else:
+        flag = lambda name: F.coalesce(F.col("opt")[name], F.lit(DEFAULT_OPTIONS[name]))
+        rows = findings.join(options.select("scan_id", "opt"), "scan_id", "left")
     off = [F.lit(False)]
     for name, gates in GATES.items():
         for g in gates:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from glasswake.functions.json_text import indented
 from glasswake.functions.urls import with_url
 from glasswake.operators.findings import KEYS, emit, finding
 
@@ -56,15 +57,16 @@ def sensitive_keys(body: Column) -> Column:
 
 
 def listed(responses: DataFrame) -> DataFrame:
-    """Responses of the fixed paths that are worth a look, with a bounded preview."""
+    """Responses of the fixed paths that are worth a look, with a bounded preview: JSON indented,
+    other text as it is."""
     ctype = F.coalesce("content_type", F.lit(""))
     json, text = ctype.contains("json"), ctype.contains("text") | ctype.contains("html")
     return (
         responses.filter(F.col("path").isin(*PROBE_PATHS) & ~F.col("status").isin(*QUIET_STATUSES))
         .withColumn("is_json", json).withColumn("is_text", text)
-        .withColumn("preview", F.when(json | text, F.when(
-            F.length("body") > PREVIEW_LENGTH,
-            F.left("body", F.lit(PREVIEW_LENGTH))).otherwise(F.col("body"))))
+        .withColumn("preview", F.when(json | text, F.coalesce(
+            F.when(json, indented("body", PREVIEW_LENGTH)),
+            F.left("body", F.lit(PREVIEW_LENGTH)))))
         .withColumn("keys", F.when(json, sensitive_keys(F.col("body"))).otherwise(
             F.array().cast("array<string>"))))
 

@@ -8,7 +8,7 @@ error, so that no result looks complete without it.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -16,6 +16,7 @@ from glasswake.functions.html import linked_scripts
 from glasswake.operators import (
     addresses, clientstate, content, findings as fi, probes, responses, scripts,
 )
+from glasswake.sources.captures import storage_items
 
 
 @dataclass
@@ -76,6 +77,8 @@ NEEDS = {"cookies": "cookies", "storage": "storage", "storage_secrets": "storage
 
 def raw_findings(c: Captures, enabled: tuple[str, ...] | None = None) -> DataFrame:
     parts = []
+    if c.storage is None and "storage_json" in c.pages.columns:
+        c = replace(c, storage=storage_items(c.pages))
     for name, rule in REGISTRY.items():
         if enabled and name not in enabled:
             continue
@@ -91,8 +94,7 @@ def raw_findings(c: Captures, enabled: tuple[str, ...] | None = None) -> DataFra
 
 
 def site_scan(c: Captures, enabled: tuple[str, ...] | None = None) -> DataFrame:
-    """All findings: gated by the scan's options, first of equal ones per page."""
-    found = raw_findings(c, enabled)
-    if c.options is not None:
-        found = fi.gate(found, c.options)
+    """All findings: gated by the scan's options (without a table of options: the defaults),
+    first of equal ones per page."""
+    found = fi.gate(raw_findings(c, enabled), c.options)
     return fi.with_finding_id(fi.deduplicate(found, c.strict_dedup))

@@ -14,7 +14,8 @@ PAGE_SCHEMA = T.StructType([
     T.StructField("scan_id", T.LongType()), T.StructField("page_id", T.LongType()),
     T.StructField("url", T.StringType()), T.StructField("depth", T.IntegerType()),
     T.StructField("status_code", T.IntegerType()), T.StructField("html", T.StringType()),
-    T.StructField("headers_json", T.StringType()),
+    T.StructField("headers_json", T.StringType()), T.StructField("content_type", T.StringType()),
+    T.StructField("storage_json", T.StringType()),
 ])
 REQUEST_SCHEMA = T.StructType([
     T.StructField("scan_id", T.LongType()), T.StructField("page_id", T.LongType()),
@@ -22,7 +23,10 @@ REQUEST_SCHEMA = T.StructType([
     T.StructField("method", T.StringType()), T.StructField("resource_type", T.StringType()),
     T.StructField("status_code", T.IntegerType()),
     T.StructField("response_headers_json", T.StringType()),
+    T.StructField("request_headers_json", T.StringType()),
+    T.StructField("response_snippet", T.StringType()),
 ])
+STORAGE = ("localStorage", "sessionStorage")        # fixed values: members of storage_json
 PR_SCHEMA = T.StructType([
     T.StructField("title", T.StringType()),
     T.StructField("user", T.StructType([T.StructField("login", T.StringType())])),
@@ -44,8 +48,27 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pages(raw: DataFrame) -> DataFrame:
-    """Headers parsed to a map; the markup stays whole for the rules."""
-    return raw.withColumn("headers", F.from_json("headers_json", "map<string,string>"))
+    """Headers parsed to a map, and the content type taken from them where it was not captured;
+    the markup stays whole for the rules."""
+    df = raw.withColumn("headers", F.from_json("headers_json", "map<string,string>"))
+    named = F.map_values(F.map_filter("headers", lambda k, _: F.lower(k) == "content-type"))
+    given = [F.col("content_type")] if "content_type" in raw.columns else []
+    return df.withColumn("content_type", F.coalesce(*given, F.get(named, F.lit(0))))
+
+
+def storage_items(pages: DataFrame) -> DataFrame:
+    """Web storage items from the pages' storage_json, in the order of each object; ``item_ord``
+    counts within a page and kind of storage. A page whose text is NULL or no JSON has none;
+    a name that occurs twice, which no browser writes, is two items."""
+    kinds = F.from_json("storage_json", ", ".join(f"{s} map<string,string>" for s in STORAGE))
+    none = F.create_map().cast("map<string,string>")
+    of = lambda kind: F.transform(F.map_entries(F.coalesce(kinds[kind], none)), lambda e, i: F.struct(
+        i.cast("bigint").alias("item_ord"), F.lit(kind).alias("storage_type"),
+        e["key"].alias("key"), e["value"].alias("value")))
+    items = F.flatten(F.array(*map(of, STORAGE)))
+    rows = pages.where("storage_json IS NOT NULL")
+    return rows.select("scan_id", "page_id", "url", F.explode(items).alias("i")).select(
+        "scan_id", "page_id", "url", "i.*")
 
 
 def stored_pages(pages: DataFrame, limit: int = STORED_HTML) -> DataFrame:
@@ -59,8 +82,12 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def requests(raw: DataFrame) -> DataFrame:
-    return raw.withColumn("response_headers", F.from_json(
-        "response_headers_json", "map<string,string>"))
+    """Headers of both directions parsed to maps, where they were captured."""
+    df = raw
+    for kind in ("response", "request"):
+        if f"{kind}_headers_json" in raw.columns:
+            df = df.withColumn(f"{kind}_headers", F.from_json(f"{kind}_headers_json", "map<string,string>"))
+    return df
 
 
 RAW_PULL_REQUESTS = "review_id bigint, pr_url string, payload string"

@@ -15,7 +15,8 @@ NAMES = [
     "suspicious_endpoints", "missing_sri", "probe_json", "bundle_scan", "crawl_frontier", "site_scan",
     "severity_counts", "sc_ranked", "sc_evidence", "script_inventory", "ingestion_report",
     "rv_secret", "rv_complexity", "rv_term_drift", "rv_untested_service", "rv_score",
-    "rv_focus_files", "review_report", "scan_documents", "review_store", "pr_quarantine", "patch_line_numbers", "naming_plural", "checks_rollup",
+    "rv_focus_files", "review_report", "scan_documents", "review_store", "pr_quarantine", "patch_line_numbers", "page_storage_items", "page_content_type",
+    "international_hosts", "asset_store", "probe_filter", "naming_plural", "checks_rollup",
 ]
 
 
