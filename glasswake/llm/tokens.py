@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -30,7 +30,7 @@ from glasswake.llm.common import buckets_for, cut, new_folder
 
 SHARD_CHARS = 16_000_000
 CACHE_UNITS = 450_000
-UNITS_A_CALL, DOCS_A_CALL = 200, 64
+UNITS_A_CALL, DOCS_A_CALL = 64, 64
 CORE_UNITS = 200_000         # the words met first stay in the cache: they are the frequent ones
 HEADER = "<HqI"
 HEADER_SIZE = struct.calcsize(HEADER)
@@ -64,21 +64,29 @@ class Encoder:
     def _raw(self, text: str) -> np.ndarray:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.dtype)
 
-    def _learn(self, units: list[str]) -> None:
-        led = [u for u in units if u[0] == " "]
+    def _learn(self, units: Iterable[str]) -> None:
+        led, bare, blank = [], [], []
+        for u in units:
+            (led if u[0] == " " else blank if u.isspace() else bare).append(u)
+        self._learn_together(led, "")
+        self._learn_together(bare, "\n")        # the tokenizer never merges a line end with the word behind it
+        for u in blank:
+            self.known[u] = self._raw(u).tobytes()
+
+    def _learn_together(self, units: list[str], between: str) -> None:
+        """Units that stay apart when each follows ``between``, by few calls of the library."""
         size = self.dtype.itemsize
-        for i in range(0, len(led), UNITS_A_CALL):
-            part = led[i:i + UNITS_A_CALL]
-            ids = self._raw("".join(part))
-            ends = np.cumsum([len(u.encode()) for u in part])
+        skip = len(between) * size               # a line end is one byte and one id
+        for i in range(0, len(units), UNITS_A_CALL):
+            part = units[i:i + UNITS_A_CALL]
+            text = between + between.join(part)
+            ids = np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.cumsum([len(u.encode()) + len(between) for u in part])
             stops = (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1) * size
-            raw, at = ids.tobytes(), 0
+            raw, at = ids.tobytes(), skip
             for u, stop in zip(part, stops.tolist()):
                 self.known[u] = raw[at:stop]
-                at = stop
-        for u in units:
-            if u[0] != " ":
-                self.known[u] = self._raw(u).tobytes()
+                at = stop + skip
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
@@ -92,17 +100,14 @@ class Encoder:
                 out[i] = self._raw(text).tobytes()
             elif text:
                 units[i] = self.find(text)
-        got = {i: list(map(self.known.get, own)) for i, own in units.items()}
-        late = [i for i, ids in got.items() if None in ids]
-        new = {u for i in late for u, ids in zip(units[i], got[i]) if ids is None}
-        if new:
-            if len(self.known) + len(new) > CACHE_UNITS:        # what is in ``got`` stays valid
-                self.known = dict(islice(self.known.items(), CORE_UNITS))
-            self._learn(list(new))
-            for i in late:
-                got[i] = [self.known[u] if ids is None else ids for u, ids in zip(units[i], got[i])]
-        for i, ids in got.items():
-            out[i] = b"".join(ids)
+        met = set().union(*units.values())
+        new = met.difference(self.known)
+        if new and len(self.known) + len(new) > CACHE_UNITS:
+            self.known = dict(islice(self.known.items(), CORE_UNITS))
+            new = met.difference(self.known)
+        self._learn(new)
+        for i, own in units.items():
+            out[i] = b"".join(map(self.known.__getitem__, own))
         return out
 
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html
 import math
+import random
 import re
 import zlib
 
@@ -55,6 +56,22 @@ def test_encoder_equals_the_library():
     for text in ("", " ", "\n\n a  b\t c \n", "it's we'll x's", "a b  c", "\x1c\x1d a\x85b", "<|endoftext|> 漢字😀 é", "a <|endoftext|> b", "   "):
         assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == lib.encode(text, add_special_tokens=False).ids
 
+def test_words_learned_together_are_the_librarys():
+    """Words without a blank before them are learned behind line ends; a small cache is emptied on the way."""
+    rnd = random.Random(11)
+    letters = "ab'stAé中😀0_-.<|>" + " \t\n\r\x0b\x0c\x1c\x1f\x85\xa0  　​" * 2
+    texts = ["".join(rnd.choices(letters, k=rnd.randint(0, 60))) for _ in range(3000)] + [None, "", "\n", "a", " "]
+    enc = tokens.Encoder(queries.vocabulary())
+    limits = tokens.CACHE_UNITS, tokens.CORE_UNITS
+    tokens.CACHE_UNITS, tokens.CORE_UNITS = 500, 100
+    try:
+        got = [raw for i in range(0, len(texts), 64) for raw in enc.encode_many(texts[i:i + 64])]
+    finally:
+        tokens.CACHE_UNITS, tokens.CORE_UNITS = limits
+    for text, raw in zip(texts, got):
+        want = enc.lib.encode(text or "", add_special_tokens=False).ids
+        assert np.frombuffer(raw, enc.dtype).tolist() == want
+
 
 def test_token_files_round_trip(spark, docs, ids):
     got = {r.doc_id: r for r in queries.op1_token_index(spark, DATA).collect()}
