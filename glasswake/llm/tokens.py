@@ -67,7 +67,7 @@ class Encoder:
     def _learn(self, units: Iterable[str]) -> None:
         led, bare, blank = [], [], []
         for u in units:
-            (led if u[0] == " " else blank if u.isspace() else bare).append(u)
+            (blank if u.isspace() else led if u[0] == " " else bare).append(u)
         self._learn_together(led, "")
         self._learn_together(bare, "\n")        # the tokenizer never merges a line end with the word behind it
         for u in blank:
