@@ -239,6 +239,53 @@ def test_toxicity(spark):
     assert len(few) == 11 and {r.predicted for r in few} == {0}
 
 
+def test_toxicity_learns_from_all_labelled_documents(spark):
+    # toxic documents are only those of more than 20,000 words, and there are more than 5,000 labelled ones
+    long = "fine words here and there " * 4200
+    rows = [(i, f"{long} vile{i % 3} scum{i % 2} end" if i % 100 == 0 else f"fine words number {i % 50} here") for i in range(7000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    labels = spark.createDataFrame([(i, int(i % 100 == 0)) for i, _ in rows] + [(0, 0), (None, 1), (9999, 1)], "doc_id long, toxic int")
+    taught = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    model = toxicity.fit(docs, labels)
+    held = toxicity.examples(docs.unionByName(docs.where("doc_id < 10")), labels).groupBy("y").count().collect()
+    again = [i for i in taught if i < 10]
+    assert {r.y: r["count"] for r in held} == dict(collections.Counter(int(i % 100 == 0) for i in taught + again))
+    assert model.learned + model.checked == len(taught) and model.checked < len(taught) / 3
+    got = toxicity.score(docs, labels).collect()
+    assert len(got) == 7000 and np.mean([r.predicted == (r.doc_id % 100 == 0) for r in got if r.held_out]) > 0.999
+
+
+def test_toxicity_shards_agree_and_long_documents_are_read_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    model = toxicity.start()
+    model.hashes = np.arange(1, 400)
+    model.table = rng.normal(size=(399, toxicity.DIM)).astype(np.float32)
+    model.slow = np.zeros(399, np.float32)
+    net = toxicity.Net(model)
+    docs = [rng.integers(0, 500, (2, n)).astype(np.int32) for n in (0, 1, 2, 700, 0, 41, 3000, 5)]
+    want = []
+    for d in docs:
+        x = np.vstack([net.table[d[0]] + net.table[d[1]], np.zeros((toxicity.PAD, toxicity.DIM), np.float32)])
+        tops, c = [], 0
+        for k in toxicity.WIDTHS:
+            w = net.filters[:, c * toxicity.FILTERS:(c + k) * toxicity.FILTERS].reshape(toxicity.DIM, k, -1)
+            c += k
+            tops += list(max([(sum(x[p + j] @ w[:, j, :] for j in range(k))) for p in range(d.shape[1])] + [np.zeros(toxicity.FILTERS)],
+                             key=lambda v: v[f])[f] for f in range(toxicity.FILTERS))
+        want.append(tops + net.bias)
+    for piece in (7, 1000, 1 << 14):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        assert np.allclose(net.pooled(docs)[0], want, atol=1e-4)
+        assert np.allclose(net.pooled(docs, places=True)[0], want, atol=1e-4)
+    # the same rows dealt in another order, to several shards, give the same model
+    monkeypatch.setattr(toxicity, "SHARD_DOCS", 20)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    one, other = toxicity.fit(docs, labels), toxicity.fit(docs.repartition(5).orderBy("n_chars"), labels.repartition(3))
+    assert np.array_equal(one.hashes, other.hashes) and np.array_equal(one.table, other.table)
+    assert np.array_equal(one.dense, other.dense) and np.array_equal(one.thresholds, other.thresholds)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_sql(spark, name):
     con = duckdb.connect()
