@@ -111,13 +111,20 @@ def start(seed: int = 42) -> Model:
 
 
 class Net:
-    """A worker's copy of the weights. Documents are arrays (2, words) of word and prefix hashes."""
-
-    def __init__(self, model: Model):
-        self.table = np.zeros((HASHES, DIM), np.float32)
-        self.table[model.hashes] = model.table
-        self.slow = np.zeros(HASHES, np.float32)
-        self.slow[model.hashes] = model.slow
+    """A worker's copy of the weights. Documents are arrays (2, words) of word and prefix hashes. Only a
+    copy that learns has a row for every hash; others have those in use, and row 0 for the rest."""
+
+    def __init__(self, model: Model, learn: bool = False):
+        self.row = None
+        if learn:
+            self.table = np.zeros((HASHES, DIM), np.float32)
+            self.table[model.hashes] = model.table
+            self.slow = np.zeros(HASHES, np.float32)
+            self.slow[model.hashes] = model.slow
+        else:
+            self.row = np.zeros(HASHES, np.int32)
+            self.row[model.hashes] = 1 + np.arange(len(model.hashes))
+            self.table = np.concatenate([np.zeros((1, DIM), np.float32), model.table])
         self.dense, self.dense_slow = model.dense.copy(), model.dense_slow.copy()
         self.filters = self.dense[:N_FILTER].reshape(DIM, -1)
         self.bias = self.dense[N_FILTER:N_FILTER + TOP]
@@ -140,6 +147,8 @@ class Net:
         for a in range(0, total, PIECE):
             b = min(a + PIECE, total)
             at = words[:, a:b + PAD]
+            if self.row is not None:
+                at = self.row[at]
             answers = (self.table[at[0]] + self.table[at[1]]) @ self.filters
             top = np.zeros((b - a, TOP), np.float32)
             for c, (k, j) in enumerate(TAPS):
@@ -283,11 +292,14 @@ def _round(rows: DataFrame, model: Model) -> Model:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def changes(net: Net, touched: np.ndarray) -> pa.RecordBatch:
-        old = Net(shared.value)
-        at = np.flatnonzero(touched)
+        old, at = shared.value, np.flatnonzero(touched)
+        # rows of zeros for hashes that the model did not have
+        _, here, there = np.intersect1d(at, old.hashes, assume_unique=True, return_indices=True)
+        before = np.zeros((len(at), DIM + 1), np.float32)
+        before[here] = np.c_[old.table[there], old.slow[there]]
         rest = np.concatenate([net.dense - old.dense, net.dense_slow - old.dense_slow])
         rest = np.pad(rest, (0, -len(rest) % (DIM + 1))).reshape(-1, DIM + 1)
-        moved = np.c_[net.table[at] - old.table[at], net.slow[at] - old.slow[at]]
+        moved = np.c_[net.table[at], net.slow[at]] - before
         values = np.rint(np.r_[rest, moved].astype(np.float64) * UNIT).astype(np.int64)
         hashes = np.r_[-1 - np.arange(len(rest)), at]
         return pa.RecordBatch.from_arrays([pa.array(hashes), *(pa.array(v) for v in values.T)],
@@ -307,7 +319,8 @@ def _round(rows: DataFrame, model: Model) -> Model:
                     if net:
                         step()
                         yield changes(net, touched)
-                    now, net, touched = shard, Net(shared.value), np.zeros(HASHES, bool)
+                    net = None                      # one copy at a time
+                    now, net, touched = shard, Net(shared.value, learn=True), np.zeros(HASHES, bool)
                 held.append((x, y))
                 if len(held) == BATCH:
                     step()
@@ -325,7 +338,7 @@ def _round(rows: DataFrame, model: Model) -> Model:
     hashes, values = hashes[order], values[order]
     k = int(np.searchsorted(hashes, 0))
     rest = values[:k][::-1].ravel()                 # number -1 comes first
-    net = Net(model)
+    net = Net(model, learn=True)
     net.table[hashes[k:]] += values[k:, :DIM]
     net.slow[hashes[k:]] += values[k:, DIM]
     used = np.union1d(model.hashes, hashes[k:]).astype(np.int64)

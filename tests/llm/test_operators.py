@@ -261,7 +261,7 @@ def test_toxicity_shards_agree_and_long_documents_are_read_in_pieces(spark, monk
     model.hashes = np.arange(1, 400)
     model.table = rng.normal(size=(399, toxicity.DIM)).astype(np.float32)
     model.slow = np.zeros(399, np.float32)
-    net = toxicity.Net(model)
+    net, reader = toxicity.Net(model, learn=True), toxicity.Net(model)
     docs = [rng.integers(0, 500, (2, n)).astype(np.int32) for n in (0, 1, 2, 700, 0, 41, 3000, 5)]
     want = []
     for d in docs:
@@ -277,6 +277,7 @@ def test_toxicity_shards_agree_and_long_documents_are_read_in_pieces(spark, monk
         monkeypatch.setattr(toxicity, "PIECE", piece)
         assert np.allclose(net.pooled(docs)[0], want, atol=1e-4)
         assert np.allclose(net.pooled(docs, places=True)[0], want, atol=1e-4)
+        assert np.allclose(reader.pooled(docs)[0], want, atol=1e-4) and len(reader.table) == 400
     # the same rows dealt in another order, to several shards, give the same model
     monkeypatch.setattr(toxicity, "SHARD_DOCS", 20)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
