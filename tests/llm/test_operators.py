@@ -392,6 +392,28 @@ def test_names_that_only_hint_are_judged_by_the_host(spark):
     assert got[4] == "Never closed, yet told" and got[5] == "Open text"
 
 
+def test_suffixes_are_sorted_and_neighbours_compared(spark):
+    page = lambda s: f"<body><div>{s} a b c d e f g a b c d e f h</div>"
+    rows = [(k, f"http://h{k % 2}.org/{k}", page(w)) for k, w in enumerate(["x", "y", "x", "x y", "a b c d e f", ""])]
+    rows += [(9, "http://alone.org/", page("x")), rows[0], (10, "http://h0.org/10", None)]
+    found = pages.suffixes(pages._rows(spark.createDataFrame(rows, "page_id long, url string, html string")))
+    array = pages.suffix_array(found).collect()
+    keys = [tuple(r[c] for c in pages.ORDER) for r in array]
+    assert len(array) == found.count() and keys == sorted(keys)
+    held = collections.defaultdict(set)
+    for k, r in zip(keys, array):
+        held[k].add(r.page)
+    expected = sorted((r.page, r.at) for k, r in zip(keys, array) if len(held[k]) > 1)
+    assert 0 < len(expected) < len(array)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in (1, 3, 1000):              # runs over the ends of batches
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            assert sorted((r.page, r.at) for r in pages.repeated(pages.suffix_array(found)).collect()) == expected
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_repeats_are_those_of_a_suffix_array(spark):
     rng = np.random.default_rng(5)
     rows = []
