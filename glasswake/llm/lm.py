@@ -308,8 +308,9 @@ def _joined(rows: Iterator[tuple[int, bytes]], first: int, slices: int) -> np.nd
     return bits
 
 
-def _ask_shards(blocked: DataFrame, parts: int, built: DataFrame, slices: int, per_shard: int) -> DataFrame:
-    """The levels of the different words and pairs of each block, from the shard of the filter that holds them."""
+def _ask_shards(blocked: DataFrame, built: DataFrame, slices: int, per_shard: int) -> DataFrame:
+    """The levels of the different words and pairs of each block, from the shard of the filter that holds them.
+    Every column of ``blocked`` is read, so that its rows are shuffled once for these questions and the scores."""
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
         of, found, block = Words(), [], int(pdf["block"].iloc[0])
@@ -332,7 +333,7 @@ def _ask_shards(blocked: DataFrame, parts: int, built: DataFrame, slices: int, p
                 rows.append((block, 1, numbers, lv.astype(np.uint8).tobytes(), None, None))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in ANSWERS.split(", ")])
 
-    asked = blocked.select("block", "text").groupBy("block").applyInPandas(ask, "block long, shard long, numbers binary")
+    asked = blocked.groupBy("block").applyInPandas(ask, "block long, shard long, numbers binary")
     shards = cut(built, "filter").withColumn("shard", F.expr(f"slice div {per_shard}"))
     return asked.groupBy("shard").cogroup(shards.groupBy("shard")).applyInPandas(answer, ANSWERS)
 
@@ -372,7 +373,7 @@ def score(docs: DataFrame, modulus: int = 7, out_fold: int = 2) -> DataFrame:
     built, slices, total = _build_filter(grams)
     replies, shared = _with_contexts(added), None
     if slices * SLICE_BITS > FILTER_BITS:
-        replies = replies.unionByName(_ask_shards(blocked, parts, built, slices, SHARD_SLICES))
+        replies = replies.unionByName(_ask_shards(blocked, built, slices, SHARD_SLICES))
     else:
         rows = built.toLocalIterator() if slices else ()
         shared = spark.sparkContext.broadcast(_joined(rows, 0, slices))       # at most FILTER_BITS

@@ -482,6 +482,17 @@ def test_score_is_a_probability_whatever_holds_the_filter(spark, docs, monkeypat
     assert all(again[d] == pytest.approx(r.score, rel=1e-12) for d, r in rows.items())
 
 
+def test_texts_are_dealt_once_for_questions_and_scores(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FILTER_BITS", 0)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = lm.score(spark.createDataFrame([(k, f"a b c{k}") for k in range(9)], "doc_id long, text string"))
+        assert "ReusedExchange" in plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_filter_reads_what_was_entered():
     rng = np.random.default_rng(5)
     numbers = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
