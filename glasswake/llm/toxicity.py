@@ -34,6 +34,7 @@ SLOTS = 1 << 27             # bits that tell which ids may be labelled
 PIECE = 1 << 14             # words that filters run over at a time
 GRID = 1024                 # steps of a logit that thresholds tell apart
 KNOWN_WORDS = 300_000       # size of the word cache in a worker
+ROWS = 1024                 # rows of a batch that a worker scores at a time
 
 # Frequent words that tell the language of a text.
 FREQUENT = (
@@ -250,7 +251,7 @@ def examples(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, bits = Features(), bitmap.value
-        for b in batches:
+        for b in _parts(batches):
             slot = b.column(2).to_numpy() - 1
             b = b.filter(pa.array((bits[slot >> 3] >> (slot & 7) & 1).astype(bool)))
             xs = [of(t) for t in b.column(1).to_pylist()]
@@ -403,6 +404,13 @@ def _thresholds(rows: DataFrame, model: Model) -> np.ndarray:
     return out
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that a worker has few texts twice, as Arrow and as Python strings."""
+    for b in batches:
+        for i in range(0, b.num_rows, ROWS):
+            yield b.slice(i, ROWS)
+
+
 def _scores(net: Net, of: Features, texts: list[str | None]) -> Iterator[np.ndarray]:
     docs, languages = [], []
     held = 0
@@ -427,7 +435,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, of = Net(model.value), Features()
-        for b in batches:
+        for b in _parts(batches):
             s = np.concatenate([*_scores(net, of, b.column(1).to_pylist()), np.empty(0)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=["doc_id", "score"])
 
@@ -443,7 +451,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, of = Net(model.value), Features()
-        for b in batches:
+        for b in _parts(batches):
             s = np.concatenate([*_scores(net, of, b.column(at).to_pylist()), np.empty(0)])
             yield b.filter(pa.array(s < 0.5))
 

@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -255,6 +256,13 @@ def test_toxicity_learns_from_all_labelled_documents(spark):
     assert len(got) == 7000 and np.mean([r.predicted == (r.doc_id % 100 == 0) for r in got if r.held_out]) > 0.999
 
 
+def test_toxicity_scores_batches_in_parts():
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2500)), "text": [f"text {k}" for k in range(2500)]})
+    parts = list(toxicity._parts(iter([batch, batch.slice(0, 0), batch.slice(3, 5)])))
+    assert max(p.num_rows for p in parts) == toxicity.ROWS
+    assert [x for p in parts for x in p.column(1).to_pylist()] == batch.column(1).to_pylist() + [f"text {k}" for k in range(3, 8)]
+
+
 def test_toxicity_shards_agree_and_long_documents_are_read_in_pieces(spark, monkeypatch):
     rng = np.random.default_rng(5)
     model = toxicity.start()
