@@ -448,6 +448,24 @@ def test_repeats_are_those_of_a_suffix_array(spark):
             assert got[k] == covered[k].sum()
 
 
+def test_article_text_is_part_of_the_hosts_suffixes(spark, monkeypatch):
+    shared = "Same closing words on every page of this paper"
+    page = lambda s: (f"<nav>one two three</nav><article><p>Story {s} and {s} told</p><p>{shared}</p><div class='social-strip'>"
+                      f"paper {s}</div></article><footer>four five six</footer>")
+    rows = [(1, "http://a.org/1", page("x")), (2, "HTTP://A.org?2", page("y")), (3, "http://b.org/1", page("z")),
+            (4, "http://b.org/2", "<p>one two three four five six</p>"), (2, "HTTP://A.org?2", page("y")), (5, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = pages.suffixes(pages._rows(df.where("page_id = 1"))).collect()
+    assert sorted(r.at % 2**pages.AT_BITS for r in found) == list(range(3 + 5 + 9 + 2 + 3 - pages.LONG + 1))
+    got = sorted(map(tuple, pages.main_text(df).collect()))
+    assert {r[0]: r[4] for r in got} == {1: 11, 2: 11, 3: 0, 4: 0, 5: 0}       # "told" before and "paper" behind are in the run
+    assert [r[2] for r in got if r[0] == 1] == [f"Story x and x told\n{shared}\npaper x"]
+    monkeypatch.setattr(pages, "BLOCK_CHARS", 1)           # a block for each page, many parts of short hashes
+    assert sorted(map(tuple, pages.main_text(df).collect())) == got
+    monkeypatch.setattr(pages, "SHORT", 3)                 # most of them seem to be shared
+    assert sorted(map(tuple, pages.main_text(df).collect())) == got
+
+
 def test_language_model(spark, docs):
     got = {r.doc_id: r for r in queries.op9_bloom_lm(spark, DATA).collect()}
     counts, known = collections.Counter(), {}
