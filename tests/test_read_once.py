@@ -78,3 +78,24 @@ def test_the_search_for_untested_services_reads_a_table_of_its_own(spark, monkey
 
 def test_overlay_makes_its_findings_once(spark):
     assert "split(" not in _plan(Q.QUERIES["enrich_overlay"](_views(spark)))
+
+
+def test_written_hits_hold_only_what_differs(spark):
+    files = _files(spark, _patches())
+    names = lambda df: df.schema["hits"].dataType.elementType.names
+    assert names(cr.file_results(files, texts=False)) == ["rule", "severity", "score_impact"]
+    assert names(cr.file_results(files)) == ["rule", "severity", "score_impact", "summary", "snippet"]
+    whole = R.explode_hits(cr.file_results(files))
+    assert whole.columns == ["review_id", *R.REVIEW_FIELDS]
+    short = R.explode_hits(cr.file_results(files, texts=False), texts=False)
+    assert sorted(map(str, short.collect())) == sorted(map(str, whole.drop(*R.TEXT_FIELDS).collect())) and short.count() > 20
+
+
+def test_review_report_reads_patches_once_and_writes_findings_once(spark, monkeypatch):
+    v, made, written, cut = _views(spark), [], [], cr.cut
+    v.__dict__["reviews"] = v.reviews.withColumns({"pr_url": F.lit("https://github.com/o/r/pull/1"), "status": F.lit("completed")})
+    split = cr.split_patch
+    monkeypatch.setattr(cr, "split_patch", lambda files: made.append(1) or split(files))
+    monkeypatch.setattr(Q, "cut", lambda df: written.append(df.columns) or cut(df))
+    assert Q.QUERIES["review_report"](v).count() > 20
+    assert len(made) == 1 and not written
