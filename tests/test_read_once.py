@@ -89,6 +89,7 @@ def test_written_hits_hold_only_what_differs(spark):
     assert whole.columns == ["review_id", *R.REVIEW_FIELDS]
     short = R.explode_hits(cr.file_results(files, texts=False), texts=False)
     assert sorted(map(str, short.collect())) == sorted(map(str, whole.drop(*R.TEXT_FIELDS).collect())) and short.count() > 20
+    assert sorted(map(str, R.file_findings(files, texts=False).collect())) == sorted(map(str, short.collect()))
 
 
 def test_review_report_reads_patches_once_and_writes_findings_once(spark, monkeypatch):
